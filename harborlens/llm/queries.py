@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborlens.llm.bpe import bpe_digests
 from harborlens.llm.common import table
+from harborlens.llm.decontaminate import benchmark_spans, contaminated
 from harborlens.llm.exact_dedup import exact_dedup
+from harborlens.llm.license_scan import brute_force_sql, license_scan
 from harborlens.llm.line_dedup import line_dedup
+from harborlens.llm.simhash import near_duplicates
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +39,35 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=["text_sha256"])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return met.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 #: Trimmed, and A-Z alone in lower case.
 _KEY_SQL = (
     "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_bpe": op10_bpe,
+}
 
 ORACLES = {
+    "op1_license_scan": brute_force_sql(),
     "op3_line_dedup": f"""
         with rows as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
         lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from rows),
