@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.llm.bpe import bpe_digests
-from harborlens.llm.common import table
+from harborlens.llm.common import shared_folder, table
 from harborlens.llm.decontaminate import benchmark_spans, contaminated
 from harborlens.llm.exact_dedup import exact_dedup
 from harborlens.llm.license_scan import brute_force_sql, license_scan
 from harborlens.llm.line_dedup import line_dedup
+from harborlens.llm.lm_score import lm_scores
+from harborlens.llm.sharding import shard
 from harborlens.llm.simhash import near_duplicates
+from harborlens.llm.warc import read_warc, write_warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +42,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=["text_sha256"])
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    return shard(docs, 24, carry=["text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
+    return read_warc(spark, path, with_payload=False).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "ok"
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return met.select(
@@ -62,6 +85,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lm_scores": op6_lm_scores,
+    "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
