@@ -12,6 +12,7 @@ from harborlens.llm.exact_dedup import exact_dedup
 from harborlens.llm.license_scan import brute_force_sql, license_scan
 from harborlens.llm.line_dedup import line_dedup
 from harborlens.llm.lm_score import lm_scores
+from harborlens.llm.quality import quality
 from harborlens.llm.sharding import shard
 from harborlens.llm.simhash import near_duplicates
 from harborlens.llm.warc import read_warc, write_warc
@@ -42,6 +43,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=["text_sha256"])
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_lm_scores": op6_lm_scores,
     "op7_sharding": op7_sharding,
