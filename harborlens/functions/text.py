@@ -106,11 +106,11 @@ def normalise_title(title: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters, with a blank before and after the text."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    n = F.length(padded)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))).otherwise(
-        F.array().cast("array<string>")
-    )
+    # Letters beside themselves shifted by one and two: a lambda that took them from the text would build the text anew for each.
+    letters = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
+    shifted = lambda k: F.slice(letters, k, F.greatest(F.size(letters), F.lit(1)))
+    runs = F.zip_with(F.zip_with(letters, shifted(2), lambda x, y: F.concat(x, y)), shifted(3), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
 
 
 def jaccard(a: Column, b: Column) -> Column:
