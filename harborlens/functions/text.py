@@ -146,7 +146,7 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def pipe_list(c: Column) -> Column:
     """``a|b`` -> trimmed, non-empty parts; nothing -> an empty array."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def million_usd(c: Column) -> Column:

@@ -28,10 +28,11 @@ def parse_feeds(pages: DataFrame, body: str, *keep: str) -> DataFrame:
     x = F.col("_item")
     href = F.nullif(F.regexp_extract(x, r'(?is)<link\b[^>]*href="([^"]+)"', 1), F.lit(""))
     when = F.coalesce(*(_tag(x, t) for t in ("pubDate", "published", "updated", "dc:date")))
+    day = F.regexp_replace(when, r"^[A-Za-z]{3},\s*", "")
     return rows.select(
         *keep, decode_entities(_tag(x, "title")).alias("title"), F.coalesce(_tag(x, "link"), href).alias("link"),
         clean_snippet(F.coalesce(_tag(x, "description"), _tag(x, "summary"), F.lit(""))).alias("snippet"),
-        F.coalesce(F.try_to_timestamp(when, F.lit("EEE, dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(when, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(when)).alias("published"),
+        F.coalesce(F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(when)).alias("published"),
     ).where("title is not null and link is not null")
 
 
