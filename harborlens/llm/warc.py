@@ -167,11 +167,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("html")), "len": F.octet_length("html")})
     first = rows.groupBy("sha", "len").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Ids of rows that revisit another, by row: only these meet the pages.
-    again = rows.select("id", "sha", "len").join(first, ["sha", "len"]).where("not (id <=> first)").select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "first").distinct()
+    # Ids of rows that revisit another: only these meet the pages, on the partitioning by which the archives are written.
+    key = F.xxhash64("id", "sha")
+    again = rows.select("id", "sha", "len").join(first, ["sha", "len"]).where("not (id <=> first)")
+    again = again.select(key.alias("key"), F.col("id").alias("rid"), F.col("sha").alias("rsha"), "first").distinct()
     payload = rows.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-    files = max(1, -(-payload // (archive_mb << 20)))
-    met = rows.join(again.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left")
+    files = max(1, -(-payload // (archive_mb << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Equal hashes meet; that id and digest are equal, too, is written as ranges, as further keys would deal the pages anew.
+    same = F.expr("p.key = r.key and p.sha between r.rsha and r.rsha and (p.id between r.rid and r.rid or (p.id is null and r.rid is null))")
+    met = rows.withColumn("key", key).repartition(files, "key").alias("p").join(again.hint("shuffle_hash").alias("r"), same, "left")
+    records = met.select("p.id", "url", "html", "first", F.col("rsha").isNotNull().alias("revisit"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -181,7 +186,6 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out.append(member(record("revisit" if revisit else "response", "null" if i is None else i, url, body, first), level)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = met.select("id", "url", "html", "first", F.col("rsha").isNotNull().alias("revisit")).repartition(files, F.xxhash64("id"))
     records.mapInArrow(make, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
