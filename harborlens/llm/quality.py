@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = F.filter(F.split(F.col("_text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+def _words(text: Column | str) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,11 +21,12 @@ def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shape = F.regexp_replace(shape, r"[\p{Ll}\p{Lo}\p{M}]+", "a")
     shape = F.regexp_replace(shape, r"[0-9]+", "0")
     shape = F.regexp_replace(shape, r"([^\p{L}\p{N}\s])\1+", "$1$1")
-    rows = rows.select("_id", _WORDS.alias("_words"), F.filter(F.split(shape, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_shapes"))
+    rows = rows.select("_id", _words("_text").alias("_words"), _words(shape).alias("_shapes"))
     n = F.size("_words")
     before = F.concat(F.array(F.lit("")), F.slice("_words", 1, F.greatest(n - 1, F.lit(0))))
     rows = rows.withColumn("_again", F.zip_with("_words", before, lambda w, b: F.coalesce(w == b, F.lit(False))))
-    share = lambda test: F.coalesce(F.size(F.filter("_shapes", test)) / n, F.lit(0.0))
+    some = F.greatest(n, F.lit(1))  # nothing is divided by zero, even where the result isn't used
+    share = lambda test: F.size(F.filter("_shapes", test)) / some
     return rows.select(
         "_id", n.alias("_n"),
         # What the scorer sees: each word's shape, marked where the word is the one before it again.
@@ -32,8 +35,8 @@ def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         share(lambda s: s.rlike(r"[^\p{L}\p{N}\s]{2}$")).alias("_signs"),
         share(lambda s: ~s.rlike(r"[\p{L}\p{N}]")).alias("_bare"),
         share(lambda s: s.rlike(r"^(A|Aa|a)[.,;:!?]?$")).alias("_plain"),
-        F.coalesce(F.size(F.filter("_again", lambda a: a)) / n, F.lit(0.0)).alias("_repeats"),
-        F.coalesce(F.size(F.array_distinct("_words")) / n, F.lit(1.0)).alias("_distinct"),
+        (F.size(F.filter("_again", lambda a: a)) / some).alias("_repeats"),
+        (F.size(F.array_distinct("_words")) / some).alias("_distinct"),
     )
 
 
@@ -134,7 +137,7 @@ class QualityModel:
         else:
             weights = F.split(F.lit(",".join(map(repr, self.weights.tolist()))), ",").cast("array<double>")
             total = F.aggregate("_marks", F.lit(0.0), lambda a, m: a + F.get(weights, _slot(m, len(self.weights))))
-            score = 1 / (1 + F.exp(-(total / F.col("_n") + self.bias)))
+            score = 1 / (1 + F.exp(-(total / F.greatest(F.col("_n"), F.lit(1)) + self.bias)))
         scored = facts.withColumn("_score", F.when(F.col("_n") == 0, 0.0).otherwise(score))
         return scored.select(
             F.col("_id").alias(id_col), F.col("_n").cast("long").alias("n_words"), F.col("_posterior").alias("posterior"),
