@@ -138,15 +138,15 @@ def events_near_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with e as (select distinct l_partkey % 500 as hub, l_suppkey as k from lineitem),
+    with e as (select distinct l_partkey as hub, l_suppkey as k from lineitem),
     d as (select hub, count(*) as degree from e group by hub),
-    p as (select a.k as source, b.k as target, d.degree, a.hub from e a join e b on a.hub = b.hub and a.k <> b.k join d on d.hub = a.hub where a.k < 20)
+    p as (select a.k as source, b.k as target, d.degree, a.hub from e a join e b on a.hub = b.hub and a.k <> b.k join d on d.hub = a.hub)
     select source, target, count(*) as hubs, min(degree) as least_degree,
         cast(round(max(case when degree <= 1 then 1.0 else 1 / log2(degree + 1) end) * 1000000) as bigint) as score_ppm from p group by source, target""")
 def shared_hub_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers connected over shared parts, each path discounted by its hub's degree."""
-    e = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("part"), "l_suppkey")
-    p = shared_hub_paths(e, "part", "l_suppkey").where("source < 20")
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey")
+    p = shared_hub_paths(e, "part", "l_suppkey")
     score = F.round(F.max(degree_discount(F.col("degree"))) * 1_000_000).cast("long")
     return p.groupBy("source", "target").agg(F.count(F.lit(1)).alias("hubs"), F.min("degree").alias("least_degree"), score.alias("score_ppm"))
 
@@ -173,7 +173,7 @@ def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
             0.5 + (s_suppkey % 4) * 0.25 as score from supplier),
     r as (select case when n_nationkey % 3 = 0 then 'fund_portfolio' else 'person_role' end as kind, case when n_nationkey % 3 <> 0 then n_nationkey end as via_person,
             case when n_nationkey % 3 = 0 then n_nationkey end as via_org, ['usable', 'not_usable', 'confirmed'][n_nationkey % 3 + 1] as status,
-            n_nationkey % 7 = 0 as do_not_use from nation where n_nationkey < 15),
+            n_nationkey % 7 = 0 as do_not_use from nation where n_regionkey <> 0),
     j as (select p.target, p.kind, case when r.do_not_use or r.status = 'not_usable' then -1 when r.status = 'usable' then score + 1 else score end as score, coalesce(r.status, 'unreviewed') as review_status
         from p left join r on p.kind = r.kind and p.via_person is not distinct from r.via_person and p.via_org is not distinct from r.via_org)
     select target, kind, score::double as score, review_status, case when review_status in ('confirmed', 'usable') then 'confirmed' when score >= 2 then 'plausible' else 'weak' end as feasibility from j where score >= 0""")
@@ -187,7 +187,7 @@ def reviewed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), *ends("s_nationkey"), (0.5 + (F.col("s_suppkey") % 4) * 0.25).alias("score"))
     status = F.element_at(F.array(F.lit("usable"), F.lit("not_usable"), F.lit("confirmed")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    r = read(spark, sf_dir, "nation").where("n_nationkey < 15").select(*ends("n_nationkey"), status.alias("status"), (F.col("n_nationkey") % 7 == 0).alias("do_not_use"))
+    r = read(spark, sf_dir, "nation").where("n_regionkey <> 0").select(*ends("n_nationkey"), status.alias("status"), (F.col("n_nationkey") % 7 == 0).alias("do_not_use"))
     out = reviewed(p, r, ["kind", "via_person", "via_org"])
     return out.select("target", "kind", "score", "review_status", feasibility(F.col("score"), F.col("review_status")).alias("feasibility"))
 
