@@ -386,3 +386,41 @@ def test_bpe(spark):
     assert back == Counter((i, t or "") for i, t in rows)
     assert mine.decode(mine.encode("é")[:1]) == theirs.decode(theirs.encode("é").ids[:1], skip_special_tokens=False)
     assert bpe_encode(docs(spark, []), path).count() == 0
+
+
+def strings_lm(rows):
+    """As brute_lm, on the words themselves."""
+    w = lambda t: (t or "").encode().lower().split()
+    one, two, total = Counter(), Counter(), 0
+    for _, t in rows:
+        x = w(t)
+        total += len(x)
+        one.update(x)
+        one[" "] += bool(x)
+        two.update(zip([" ", *x], x, strict=False))
+    out = defaultdict(lambda: [0, 0, 0.0])
+    for i, t in rows:
+        x = w(t)
+        for p, v in zip([" ", *x], x, strict=False):
+            seen = two[p, v] >= 2
+            out[i][0] += 1
+            out[i][1] += not seen
+            out[i][2] += math.log(two[p, v] / one[p]) if seen else math.log(0.4 * one[v] / total)
+    return out
+
+
+def test_lm_scores_tell_all_words_apart(spark):
+    """Two words whose hashes agree in their last 22 bits keep their own counts, in whole and in dealt-out joins."""
+    by = {}
+    for k in range(100_000):
+        a, b = f"w{k}", by.setdefault(xxhash.xxh64_intdigest(f"w{k}", 42) & ((1 << 22) - 1), f"w{k}")
+        if a != b:
+            break
+    assert a != b
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{a} {a} {a}"), (4, "")]
+    for words in (2_000_000, 1):
+        got = {r.doc_id: r for r in lm_scores(docs(spark, rows), bucket_words=words).collect()}
+        want = strings_lm(rows)
+        for i in (1, 2, 3):
+            assert (got[i].n_words, got[i].n_backoff) == tuple(want[i][:2]) and got[i].log_score == pytest.approx(want[i][2], rel=1e-9)
+        assert got[4].mean_log_score is None and got[4].log_score == 0
