@@ -424,3 +424,9 @@ def test_lm_scores_tell_all_words_apart(spark):
         for i in (1, 2, 3):
             assert (got[i].n_words, got[i].n_backoff) == tuple(want[i][:2]) and got[i].log_score == pytest.approx(want[i][2], rel=1e-9)
         assert got[4].mean_log_score is None and got[4].log_score == 0
+
+
+def test_lm_scores_are_joins(spark):
+    """Bigrams are rows and counts are tables: nothing is scored inside a Python group."""
+    plan = lm_scores(docs(spark, [(1, "a b a b")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Generate explode" in plan and "InPandas" not in plan and "InArrow" not in plan
