@@ -167,6 +167,26 @@ def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("least_other"))
 
 
+@query("""
+    with e as (select distinct l_partkey as hub, l_suppkey as k from lineitem)
+    select distinct x.k as a, y.k as b from e x join e y on x.hub = y.hub and x.k < y.k""")
+def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that share a part, over the whole table and its own ids."""
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey")
+    p = shared_hub_paths(e, "part", "l_suppkey").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return canonical_edges(p, "a", "b")
+
+
+@query("""
+    with e as (select distinct l_partkey as hub, l_suppkey as k from lineitem),
+    s as (select distinct x.k as a, y.k as b from e x join e y on x.hub = y.hub and x.k <> y.k)
+    select a as node, count(*) as degree, min(b) as least_other from s group by a""")
+def supplier_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many suppliers each one shares a part with."""
+    e = both_ways(supplier_edges(spark, sf_dir), "a", "b")
+    return e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("least_other"))
+
+
 @query("""
     with p as (select s_suppkey as target, case when s_nationkey % 3 = 0 then 'fund_portfolio' else 'person_role' end as kind,
             case when s_nationkey % 3 <> 0 then s_nationkey end as via_person, case when s_nationkey % 3 = 0 then s_nationkey end as via_org,

@@ -1,5 +1,7 @@
 """The driver contract: names, oracles, and the shapes of plans."""
 
+from collections import Counter, defaultdict
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +26,15 @@ def test_plans(spark):
     for name in ("trigram_pairs", "edit_distance_pairs", "shared_hub_scores", "dictionary_mentions", "events_near_signup"):
         assert "Cartesian" not in plan(q[name](spark, SF)) and "NestedLoop" not in plan(q[name](spark, SF)), name
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)" in plan(q["customers_without_orders"](spark, SF))
+
+
+def test_edges_of_real_ids(spark):
+    """Edges and degrees come from the ids as they are, so they grow with the table."""
+    q, sf = entry.queries(), "/root/testdata/sf0.01"
+    hubs = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        hubs[r.l_partkey].add(r.l_suppkey)
+    want = {(a, b) for k in hubs.values() for a in k for b in k if a < b}
+    assert {tuple(r) for r in q["supplier_edges"](spark, sf).collect()} == want
+    degree = Counter(x for e in want for x in e)
+    assert {r.node: r.degree for r in q["supplier_degrees"](spark, sf).collect()} == degree
