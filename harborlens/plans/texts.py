@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.functions import dates, filters, money, text
@@ -183,6 +183,37 @@ def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct(tri(F.col("w")))).alias("term")).join(b, "term").select("doc_id", "item_id").distinct()
 
 
+def windows(words: Column, n: int) -> Column:
+    """The runs of ``n`` words of an array, as texts; none where it is shorter."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i <= F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+
+def passage_mentions(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where any three words in a row of an item, or the whole of a shorter one, stand in a document.
+
+    ``docs`` has doc_id and w, ``items`` item_id and w; both meet on equal windows, and blank words are none.
+    """
+    held = lambda df: df.withColumn("w", F.filter("w", lambda x: x != ""))
+    w = F.col("w")
+    b = held(items).select("item_id", F.explode(F.when(F.size(w) < 3, F.when(F.size(w) > 0, F.array(F.array_join(w, " ")))).otherwise(windows(w, 3))).alias("term")).distinct()
+    d = held(docs).select("doc_id", F.explode(F.array_distinct(F.concat(*(windows(w, n) for n in (1, 2, 3))))).alias("term"))
+    return d.join(b, "term").select("doc_id", "item_id").distinct()
+
+
+@query("""
+    with b as (select item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') as w from benchmark),
+    g as (select distinct item_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as term from b where len(w) > 0),
+    d as (select doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents), n(n) as (values (1), (2), (3)),
+    p as (select doc_id, w, unnest(range(len(w))) as place from d),
+    e as (select distinct doc_id, array_to_string(w[place + 1 : place + n], ' ') as term from p, n where place + n <= len(w))
+    select distinct doc_id, item_id from e join g using (term)""")
+def dictionary_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold any passage of an item, not only its first words."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+").alias("w"))
+    return passage_mentions(d, b)
+
+
 @query("""
     with t as (select conv_id, turn, role, text from conversations),
     k as (select conv_id, count(*) filter (role = 'user') as asked, count(*) as turns, max(length(text)) as longest from t group by 1) select * from k""")

@@ -34,6 +34,18 @@ def sector_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlap_join(c, i, "s_suppkey", "have", "p_partkey", "want")
 
 
+@query("""
+    with c as (select s_suppkey, ['a' || s_nationkey % 6, 'a' || s_suppkey % 4] as sectors from supplier),
+    i as (select p_partkey, case when p_size > 1 then ['a' || p_partkey % 7] end as sectors from part)
+    select s_suppkey, p_partkey from c join i on i.sectors is null or list_has_any(c.sectors, i.sectors)""")
+def sector_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context items over all parts: those of size 1 are for every company, the others for companies of their sector."""
+    a = lambda n: F.concat(F.lit("a"), n.cast("string"))
+    c = read(spark, sf_dir, "supplier").select("s_suppkey", F.array(a(F.col("s_nationkey") % 6), a(F.col("s_suppkey") % 4)).alias("have"))
+    i = read(spark, sf_dir, "part").select("p_partkey", F.when(F.coalesce(F.col("p_size") > 1, F.lit(False)), F.array(a(F.col("p_partkey") % 7))).alias("want"))
+    return joins.overlap_join(c, i, "s_suppkey", "have", "p_partkey", "want")
+
+
 @query("""
     with a as (select lower(p_name) as key, p_partkey as id, false as is_alias from part union all select lower(p_type), p_partkey, true from part)
     select key, arg_min(id, (is_alias::int, id)) as id, min(is_alias::int) = 1 as is_alias from a group by key""")

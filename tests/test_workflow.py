@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from harborlens.operators import joins, writes
+from harborlens.plans.texts import passage_mentions
 
 
 def test_asof_join_against_brute_force(spark):
@@ -49,3 +51,18 @@ def test_merge_patch_and_problems(spark):
     assert {tuple(r) for r in writes.guarded_patch(old, new, "k", ["v"], F.col("ok")).collect()} == {(1, "a", True), (2, "b", False), (3, "d", True), (None, "n", False)}
     found = writes.problems(old, "k", {"missing": F.col("v").isNull(), "small": F.col("k") < 2})
     assert {tuple(r) for r in found.collect()} == {(1, "small"), (3, "missing")}
+
+
+def test_context_of_all_parts(spark):
+    """Every part counts: none is left out for its size."""
+    sf = "/root/testdata/sf0.001"
+    sup = [(r.s_suppkey, {f"a{r.s_nationkey % 6}", f"a{r.s_suppkey % 4}"}) for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()]
+    want = {(s, r.p_partkey) for r in spark.read.parquet(f"{sf}/part.parquet").collect() for s, have in sup if r.p_size == 1 or f"a{r.p_partkey % 7}" in have}
+    assert {tuple(r) for r in entry.queries()["sector_context_all"](spark, sf).collect()} == want
+
+
+def test_passages_of_items(spark):
+    """Later passages of an item and whole short items are found."""
+    items = spark.createDataFrame([(1, "a b c d e".split()), (2, ["x", "y"]), (3, ["z"]), (4, [""]), (5, None)], "item_id int, w array<string>")
+    docs = spark.createDataFrame([(1, "q c d e".split()), (2, "a b q".split()), (3, ["x", "y"]), (4, ["q", "z"]), (5, []), (6, None), (7, "b c d z".split()), (8, ["x", "q", "y"])], "doc_id int, w array<string>")
+    assert {tuple(r) for r in passage_mentions(docs, items).collect()} == {(1, 1), (3, 2), (4, 3), (7, 1), (7, 3)}
