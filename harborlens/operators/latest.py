@@ -55,6 +55,19 @@ def interleaved_batches(df: DataFrame, group: str, order: Sequence[str], size: i
     return placed.withColumn("place", place).withColumn("batch", F.floor(place / size).cast("long")).drop("_round", "_in", "_start")
 
 
+def places(df: DataFrame, ranges: Sequence[Column], order: Sequence[Column]) -> DataFrame:
+    """Adds place, from 1, in the order of ``ranges`` (ascending, nulls first) and then of ``order``.
+
+    No window spans all rows: ranges are counted and summed up, and a row's place is its
+    range's start and its rank in it. ``ranges`` must cut finely enough for one of them to fit a task.
+    """
+    keyed = df.withColumn("_range", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(ranges))))
+    starts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    ranked = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(starts, "_range")
+    return ranked.withColumn("place", F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")
+
+
 def repoint(df: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     """``column`` with ids of merged entities replaced; ``merged`` has (loser, kept)."""
     m = merged.select(F.col("loser").alias("_loser"), F.col("kept").alias("_kept"))

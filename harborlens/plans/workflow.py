@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlens.functions import text
 from harborlens.operators import joins, writes
-from harborlens.operators.latest import latest_by
+from harborlens.operators.latest import latest_by, places
 from harborlens.plans.registry import query, read
 
 
@@ -152,6 +152,17 @@ def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("c_custkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
+@query("""
+    with q as (select c_custkey, c_acctbal > 8000 as has_slug, case when c_custkey % 3 > 0 then date '2024-01-01' + (c_custkey % 40)::int end as missing_at from customer)
+    select c_custkey, row_number() over (order by not has_slug, missing_at nulls first, c_custkey) as place from q where has_slug or missing_at is null or missing_at < date '2024-01-20'""")
+def retry_queue_whole(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """The whole queue of ``retry_queue``; ``limit`` keeps its first places only."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 8000).alias("has_slug"), F.when(F.col("c_custkey") % 3 > 0, F.expr("date_add(date'2024-01-01', cast(c_custkey % 40 as int))")).alias("missing_at"))
+    due = c.where("has_slug or missing_at is null or missing_at < date'2024-01-20'")
+    q = places(due, [~F.col("has_slug"), F.col("missing_at"), F.floor(F.col("c_custkey") / 100_000)], [F.col("c_custkey")]).select("c_custkey", "place")
+    return q if limit is None else q.where(F.col("place") <= limit)
+
+
 @query("""
     with s as (select o_custkey, max(l_quantity) as best from orders join lineitem on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' group by 1)
     select c_custkey, coalesce(best, 0)::double as best, row_number() over (order by coalesce(best, 0) desc, c_name) as place from customer left join s on o_custkey = c_custkey order by place limit 100""")
@@ -164,6 +175,19 @@ def signal_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("c_custkey", "best", F.row_number().over(Window.orderBy(F.desc("best"), "c_name")).cast("long").alias("place"))
 
 
+@query("""
+    with s as (select o_custkey, max(l_quantity) as best from orders join lineitem on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' group by 1)
+    select c_custkey, coalesce(best, 0)::double as best, row_number() over (order by coalesce(best, 0) desc, c_name, c_custkey) as place from customer left join s on o_custkey = c_custkey""")
+def signal_queue_whole(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """The whole queue of ``signal_queue``; ``limit`` keeps its first places only."""
+    li, o, c = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    s = o.where("o_orderpriority = '1-URGENT'").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.max("l_quantity").alias("best"))
+    q = c.join(s, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("best", F.lit(0.0)).alias("best"))
+    # Names hold nine digits: a range has those that agree in all but the last five.
+    q = places(q, [-F.col("best"), F.substring("c_name", 1, 13)], [F.col("c_name"), F.col("c_custkey")]).select("c_custkey", "best", "place")
+    return q if limit is None else q.where(F.col("place") <= limit)
+
+
 @query("""
     with u as (select user_id, 0 as pass, event_id from events where event_type = 'purchase' and value > 100 union all select user_id, 1, event_id from events where event_type = 'signup'
         union all select user_id, 2, event_id from events where event_type = 'click')

@@ -66,3 +66,16 @@ def test_passages_of_items(spark):
     items = spark.createDataFrame([(1, "a b c d e".split()), (2, ["x", "y"]), (3, ["z"]), (4, [""]), (5, None)], "item_id int, w array<string>")
     docs = spark.createDataFrame([(1, "q c d e".split()), (2, "a b q".split()), (3, ["x", "y"]), (4, ["q", "z"]), (5, []), (6, None), (7, "b c d z".split()), (8, ["x", "q", "y"])], "doc_id int, w array<string>")
     assert {tuple(r) for r in passage_mentions(docs, items).collect()} == {(1, 1), (3, 2), (4, 3), (7, 1), (7, 3)}
+
+
+def test_queues_are_whole(spark):
+    """Nobody who is due is lost after the first hundreds; places are those of one order over all, and a limit is an option."""
+    q, sf = entry.queries(), "/root/testdata/sf0.01"
+    first = {r.c_custkey: r.place for r in q["retry_queue"](spark, sf).collect()}
+    whole = {r.c_custkey: r.place for r in q["retry_queue_whole"](spark, sf).collect()}
+    assert len(first) == 150 < len(whole) and sorted(whole.values()) == list(range(1, len(whole) + 1)) and first.items() <= whole.items()
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    best = {r.c_custkey: (r.best, r.place) for r in q["signal_queue_whole"](spark, sf).collect()}
+    names = {r.c_custkey: r.c_name for r in c.collect()}
+    assert best.keys() == names.keys() and sorted(best, key=lambda k: (-best[k][0], names[k])) == sorted(best, key=lambda k: best[k][1])
+    assert q["signal_queue_whole"](spark, sf, limit=7).count() == 7
