@@ -111,3 +111,29 @@ def test_streams_match_batch(spark, tmp_path):
     counts.awaitTermination()
     got = {str(r.week_of): r.n for r in spark.table("weeks").collect()}
     assert sum(got.values()) == 61 and set(got) == {"2025-12-27", "2026-01-03", "2026-01-10", "2026-01-17", "2026-01-24"}
+
+
+def test_story_pairs_by_signal_and_date(spark):
+    """Two items of one signal need fewer shared terms, and far dates part what is alike by terms only."""
+    rows = [
+        (1, "Acme raises funding from Northwind partners for warehouse robots", "a", "funding", "2024-03-01 00:00:00"),
+        (2, "Valuation of Acme doubles as Northwind backs logistics startup", "a", "funding", "2024-03-03 00:00:00"),
+        (3, "Acme opens laboratory with Northwind in Lisbon harbour district", "a", "launch", "2024-03-03 00:00:00"),
+        (4, "Acme raises funding from Northwind partners for warehouse robots", "a", "funding", "2024-08-01 00:00:00"),
+        (5, "Northwind partners lead Acme funding, warehouse robots to follow", "a", "funding", "2024-08-01 00:00:00"),
+        (6, "Northwind backs Acme, valuation of startup doubles", "b", "funding", None),
+        (7, "Valuation of Acme doubles as backers of Northwind look at startup", "b", "", "2024-03-03 00:00:00"),
+        (8, "Zenith Orbital Falcon", "c", "hiring", "2024-03-03 00:00:00"),
+        (9, "Zenith Cobalt Granite", "c", "hiring", "2024-03-08 00:00:00"),
+        (10, "Zenith Juniper Meridian", "c", "hiring", "2024-03-08 12:00:00"),
+    ]
+    items = spark.createDataFrame(rows, "id int, title string, company string, signal string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    f = cluster.with_features(items, "title")
+    x, y = f.alias("x"), f.alias("y")
+    two = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    all_pairs = x.join(y, F.expr("x.company = y.company and x.id < y.id"))
+    want = {tuple(r) for r in all_pairs.where(cluster.same_story(two("_grams"), two("_terms"), two("signal"), two("at"))).select("x.id", "y.id").collect()}
+    pairs = lambda *c: {tuple(r) for r in cluster.story_pairs(items, "id", "title", "company", *c).collect()}
+    assert pairs("signal", "at") == want
+    assert {(1, 4), (8, 9), (9, 10)} <= want and not {(1, 5), (8, 10)} & want
+    assert (8, 9) not in pairs() and (1, 5) in pairs()
