@@ -2,58 +2,158 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborlens.llm.common import ship_package
+
+#: Words that insult; one of the voters looks for them.
+INSULTS = frozenset(
+    "clown coward creep degenerate disgusting dumb fool garbage idiot idiotic imbecile jerk liar loser moron moronic parasite pathetic "
+    "scum sleazy stupid trash ugly useless vermin worthless".split()
+)
+STEM = 4
+_UPPER, _LOWER, _DIGITS = regex.compile(r"\p{Lu}+"), regex.compile(r"[\p{Ll}\p{Lo}\p{M}]+"), regex.compile(r"[0-9]+")
+_RUN = regex.compile(r"([^\p{L}\p{N}\s])\1+")
+_CAPITALS, _SIGNS = regex.compile(r"(?!Aa)A+a?[^a-z]*"), regex.compile(r".*[^\p{L}\p{N}\s]{2}", regex.S)
+_SAYING, _PLAIN = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"(A|Aa|a)[.,;:!?]?")
+_EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+
+
+def shape_of(word: str) -> str:
+    """A word's shape: runs of capitals A, of other letters a, of digits 0; other signs as they are, runs of one sign as two."""
+    if word.isalpha():  # the usual words need no patterns
+        if word.islower():
+            return "a"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    return _RUN.sub(r"\1\1", _DIGITS.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    """What a lexicon may hold of a word: the bare word in lower case, and its first letters with a hyphen."""
+    bare = word.lower()
+    if not bare.isalpha():
+        bare = _EDGES.sub("", bare)
+    return (bare, bare[:STEM] + "-") if len(bare) >= STEM else (bare,) if bare else ()
+
+
+#: What a word may be, as bits.
+CAPITALS, SIGNS, BARE, ODD, INSULT, LISTED = 1, 2, 4, 8, 16, 32
+
+
+class Words:
+    """What the voters and the scorer need to know of a word, worked out once for each that a task meets (up to ``memo`` at a time)."""
+
+    def __init__(self, lexicon: Iterable[str], features: int, weights: Sequence[float] | None = None, memo: int = 500_000) -> None:
+        self.lexicon, self.features, self.weights = frozenset(lexicon), features, weights
+        self.known, self.shapes, self.memo = {}, {}, memo
+
+    def _shape(self, shape: str) -> tuple[int, int]:
+        """Bits and feature slot of a shape."""
+        if (found := self.shapes.get(shape)) is None:
+            bits = CAPITALS * (_CAPITALS.fullmatch(shape) is not None) | SIGNS * (_SIGNS.fullmatch(shape) is not None)
+            bits |= BARE * (_SAYING.search(shape) is None) | ODD * (_PLAIN.fullmatch(shape) is None)
+            if len(self.shapes) >= self.memo:
+                self.shapes.clear()
+            found = self.shapes[shape] = bits, self.slot("=" + shape)
+        return found
+
+    def learn(self, raw: bytes) -> tuple:
+        """(bits, feature slots) of a word in UTF-8; with weights, the sum of the slots' weights in place of the slots."""
+        word = raw.decode()
+        terms = terms_of(word)
+        bits, slot = self._shape(shape_of(word))
+        slots = [slot]
+        if terms:
+            slots.append(self.slot(terms[-1]))
+            if terms[0] in INSULTS:
+                bits |= INSULT
+                slots.append(self.slot("#insult"))
+            if not self.lexicon.isdisjoint(terms):
+                bits |= LISTED
+                slots.append(self.slot("#listed"))
+        if len(self.known) >= self.memo:
+            self.known.clear()
+        found = self.known[raw] = bits, self.value(slots)
+        return found
+
+    def slot(self, mark: str) -> int:
+        return xxhash.xxh64_intdigest(mark) % self.features
+
+    def value(self, slots: list[int]) -> list[int] | float:
+        return slots if self.weights is None else sum([self.weights[s] for s in slots])
 
-def _words(text: Column | str) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _n words, _marks, ratios) of each row, by built-in functions only."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # A word's shape: runs of capitals A, of other letters a, of digits 0; other signs as they are, runs of one sign as two.
-    shape = F.regexp_replace("_text", r"[\p{Lu}]+", "A")
-    shape = F.regexp_replace(shape, r"[\p{Ll}\p{Lo}\p{M}]+", "a")
-    shape = F.regexp_replace(shape, r"[0-9]+", "0")
-    shape = F.regexp_replace(shape, r"([^\p{L}\p{N}\s])\1+", "$1$1")
-    rows = rows.select("_id", _words("_text").alias("_words"), _words(shape).alias("_shapes"))
-    n = F.size("_words")
-    before = F.concat(F.array(F.lit("")), F.slice("_words", 1, F.greatest(n - 1, F.lit(0))))
-    rows = rows.withColumn("_again", F.zip_with("_words", before, lambda w, b: F.coalesce(w == b, F.lit(False))))
-    some = F.greatest(n, F.lit(1))  # nothing is divided by zero, even where the result isn't used
-    share = lambda test: F.size(F.filter("_shapes", test)) / some
-    return rows.select(
-        "_id", n.alias("_n"),
-        # What the scorer sees: each word's shape, marked where the word is the one before it again.
-        F.zip_with("_shapes", "_again", lambda s, a: F.when(a, F.concat(F.lit("="), s)).otherwise(s)).alias("_marks"),
-        share(lambda s: s.rlike("^A{1,}a?[^a-z]*$") & ~s.rlike("^Aa")).alias("_capitals"),
-        share(lambda s: s.rlike(r"[^\p{L}\p{N}\s]{2}$")).alias("_signs"),
-        share(lambda s: ~s.rlike(r"[\p{L}\p{N}]")).alias("_bare"),
-        share(lambda s: s.rlike(r"^(A|Aa|a)[.,;:!?]?$")).alias("_plain"),
-        (F.size(F.filter("_again", lambda a: a)) / some).alias("_repeats"),
-        (F.size(F.array_distinct("_words")) / some).alias("_distinct"),
-    )
-
-
-def _bad(test: Column) -> Column:
-    return F.when(test, -1).otherwise(0)
-
-
-#: Heuristic voters: -1 for bad, 1 for good, 0 for no view. They overlap and err on purpose; EM finds how far each is right.
-#: Most look for one kind of junk: where it is missing they have no view, as a document may be bad in other ways.
+
+@dataclass
+class Facts:
+    """What the voters see of a text: its words, and shares of them."""
+
+    n: int
+    capitals: float
+    signs: float
+    bare: float
+    plain: float
+    repeats: float
+    distinct: float
+    insults: int
+    listed: int
+    has_lexicon: bool
+
+
+def _facts(text: str, words: Words) -> tuple[Facts, list[tuple]]:
+    """The facts of a text, and (times, slots or weight) of each of its words."""
+    said = text.encode().split()  # at ASCII white space only
+    n, some = len(said), max(len(said), 1)
+    counted, sums, known, learn = [], Counter(), words.known.get, words.learn
+    for w, c in Counter(said).items():
+        bits, value = known(w) or learn(w)
+        counted.append((c, value))
+        if bits:
+            sums[bits] += c
+    again = sum(map(eq, said, said[1:]))
+    counted += [(again, words.value([words.slot("#again")])), (n - len(counted), words.value([words.slot("#seen")]))]
+    of = lambda bit: sum(c for bits, c in sums.items() if bits & bit)
+    return Facts(
+        n, of(CAPITALS) / some, of(SIGNS) / some, of(BARE) / some, 1 - of(ODD) / some if n else 0.0, again / some,
+        (len(counted) - 2) / some, of(INSULT), of(LISTED), bool(words.lexicon),
+    ), counted
+
+
+def _bad(test: bool) -> int:
+    return -1 if test else 0
+
+
+#: Heuristic voters on two questions, whether a text is well formed and whether it is civil: -1 for bad, 1 for good, 0 for no view.
+#: They overlap and err on purpose; EM finds how far each is right. Most look for one kind of junk or
+#: abuse: where it is missing they have no view, as a document may be bad in other ways.
 VOTERS = {
-    "capitals": lambda: _bad(F.col("_capitals") > 0.3),
-    "signs": lambda: _bad(F.col("_signs") > 0.2),
-    "bare_signs": lambda: _bad(F.col("_bare") > 0.15),
-    "odd_words": lambda: _bad(F.col("_plain") < 0.6),
-    "repeats": lambda: _bad(F.col("_repeats") > 0.2),
-    "monotony": lambda: _bad((F.col("_distinct") < 0.15) & (F.col("_n") > 50)),
-    "prose": lambda: F.when((F.col("_plain") > 0.9) & (F.col("_repeats") < 0.05) & (F.col("_distinct") > 0.2), 1).otherwise(0),
+    "form": {
+        "capitals": lambda f: _bad(f.capitals > 0.3),
+        "signs": lambda f: _bad(f.signs > 0.2),
+        "bare_signs": lambda f: _bad(f.bare > 0.15),
+        "odd_words": lambda f: _bad(f.plain < 0.6),
+        "repeats": lambda f: _bad(f.repeats > 0.2),
+        "monotony": lambda f: _bad(f.distinct < 0.15 and f.n > 50),
+        "prose": lambda f: 1 if f.plain > 0.9 and f.repeats < 0.05 and f.distinct > 0.2 else 0,
+    },
+    "tone": {
+        "insults": lambda f: _bad(f.insults >= 2),
+        "insult_share": lambda f: _bad(f.insults > 0.004 * f.n),
+        "listed_words": lambda f: _bad(f.listed >= 2),
+        "listed_share": lambda f: _bad(f.listed > 0.004 * f.n),
+        "nothing_listed": lambda f: 1 if f.listed == f.insults == 0 else 0,
+    },
 }
 
 
@@ -94,102 +194,189 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, names: list[str], round
     return model
 
 
-def _slot(mark: Column, features: int) -> Column:
-    return F.pmod(F.xxhash64(mark), F.lit(features)).cast("int")
-
-
-def fit_scorer(row: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.ndarray, features: int, rounds: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of soft targets, by accelerated gradient steps on scaled features.
+def fit_scorer(row: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.ndarray, features: int, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of soft targets, by Adam steps over all rows on features scaled to their usual share.
 
-    Entry k says that ``share[k]`` of the marks of row ``row[k]`` fall into ``slot[k]``.
+    Entry k says that ``share[k]`` of the words of row ``row[k]`` fall into ``slot[k]``.
     """
     n = len(target)
-    scale = np.sqrt(np.bincount(slot, share**2, features) / n) + 1e-3
+    scale = (np.bincount(slot, share, features) + 1e-9) / (np.bincount(slot, minlength=features) + 1e-9)
     x = share / scale[slot]
-    step = 4 / max(1e-9, np.bincount(row, x**2, n).max() / 4 + 1)
-    w, bias, last_w, last_bias = np.zeros(features), 0.0, np.zeros(features), 0.0
-    for k in range(rounds):
-        push = k / (k + 3)
-        v, c = w + push * (w - last_w), bias + push * (bias - last_bias)
-        off = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * v[slot], n) + c, -30, 30))) - target
-        last_w, last_bias = w, bias
-        w = v - step * (np.bincount(slot, x * off[row], features) / n + 1e-6 * v)
-        bias = c - step * off.mean()
+    w, bias = np.zeros(features), 0.0
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
+    for k in range(1, rounds + 1):
+        off = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[slot], n) + bias, -30, 30))) - target
+        g = np.append(np.bincount(slot, x * off[row], features) / n + decay * w, off.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-5)
+        w, bias = w - step[:-1], bias - step[-1]
     return w / scale, bias
 
 
+def fit_lexicon(terms: list[set[str]], bad: list[bool], least: int = 3, ratio: float = 20.0) -> list[str]:
+    """Terms that explain the bad texts: greedily, the term that most of the texts not yet explained hold.
+
+    A term counts only if bad texts hold it at least ``ratio`` times as often as others, and it
+    must explain ``least`` texts by itself; what is only frequent in copies of one text thus stays out.
+    """
+    held, elsewhere = Counter(), Counter()
+    for t, b in zip(terms, bad, strict=True):
+        (held if b else elsewhere).update(t)
+    n_bad, n_good = max(1, sum(bad)), max(1, len(bad) - sum(bad))
+    telling = {t for t, c in held.items() if c >= least and c / n_bad >= ratio * (elsewhere[t] / n_good)}
+    rest, found = [t & telling for t, b in zip(terms, bad, strict=True) if b], []
+    while rest:
+        counts = Counter(x for t in rest for x in t)
+        best = max(counts, key=lambda x: (counts[x], len(x), x), default=None)
+        if best is None or counts[best] < least:
+            break
+        found.append(best)
+        rest = [t for t in rest if best not in t]
+    return found
+
+
 @dataclass
 class QualityModel:
-    """The label model and the scorer's weights; ``score`` applies them row by row, without a shuffle."""
+    """A label model for each question, and the scorer's weights; ``score`` applies them row by row, without a shuffle."""
 
-    labels: LabelModel
+    labels: dict[str, LabelModel]
     weights: np.ndarray | None
     bias: float
+    lexicon: list[str] = field(default_factory=list)
+
+    def judge(self, texts: Iterable[str | None], words: Words) -> Iterator[tuple[int, float, float]]:
+        """(words, posterior, score) of each text: the label models' and the scorer's probabilities of good (to all questions)."""
+        questions = [
+            (math.log(m.good / (1 - m.good)), [(VOTERS[q][name], np.log(t[1] / t[0]).tolist()) for name, t in m.votes.items()])
+            for q, m in self.labels.items()
+        ]
+        for t in texts:
+            facts, counted = _facts(t or "", words)
+            posterior = 1.0
+            for start, voters in questions:
+                posterior *= _logistic(start + sum([table[vote(facts) + 1] for vote, table in voters]))
+            if not facts.n:
+                score = 0.0
+            elif self.weights is None:
+                score = posterior
+            else:
+                score = _logistic(sum([c * w for c, w in counted]) / facts.n + self.bias)
+            yield facts.n, posterior, score
+
+    def words(self) -> Words:
+        return Words(self.lexicon, 1 if self.weights is None else len(self.weights), [0.0] if self.weights is None else self.weights.tolist())
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-        """(id, n_words, posterior, score, kept) of each row: kept where the scorer's probability of good is ``threshold`` or more.
+        """(id, n_words, posterior, score, kept) of each row: kept where neither the scorer nor the label models find good less likely than ``threshold``.
 
         Texts without words (null ones too) hold nothing to judge: their score is 0 and they are not kept.
         """
-        facts = _facts(docs, id_col, text_col).withColumn("_posterior", self._posterior())
-        if self.weights is None:
-            score = F.col("_posterior")
-        else:
-            weights = F.split(F.lit(",".join(map(repr, self.weights.tolist()))), ",").cast("array<double>")
-            total = F.aggregate("_marks", F.lit(0.0), lambda a, m: a + F.get(weights, _slot(m, len(self.weights))))
-            score = 1 / (1 + F.exp(-(total / F.greatest(F.col("_n"), F.lit(1)) + self.bias)))
-        scored = facts.withColumn("_score", F.when(F.col("_n") == 0, 0.0).otherwise(score))
-        return scored.select(
-            F.col("_id").alias(id_col), F.col("_n").cast("long").alias("n_words"), F.col("_posterior").alias("posterior"),
-            F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept"),
-        )
-
-    def _posterior(self) -> Column:
-        odds = F.lit(float(np.log(self.labels.good / (1 - self.labels.good))))
-        for name, table in self.labels.votes.items():
-            bad, none, good = np.log(table[1] / table[0]).tolist()
-            v = VOTERS[name]()
-            odds = odds + F.when(v < 0, bad).when(v > 0, good).otherwise(none)
-        return 1 / (1 + F.exp(-odds))
-
-
-def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 1 << 12, sample: int = 10_000) -> QualityModel:
-    """Fits the label model on the votes over all rows, and the scorer on the posterior labels of about ``sample`` rows.
-
-    Votes are counted by pattern (three to the power of the number of voters at most), so
-    EM sees all documents and its input does not grow. The scorer is a logistic
-    regression on hashed word shapes, with the posteriors as its targets. ``sample`` bounds
-    its training rows, chosen by a hash of the text; what comes to the driver
-    is at most ``features`` counts for each of them. Scoring covers all rows. Without rows of both kinds there
-    is no scorer, and the posterior itself is the score. Rows are judged by their text alone.
-    """
-    # Filters stand before the features: behind them the optimiser would have the features computed once more.
-    docs = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    facts = _facts(docs, id_col, text_col)
-    names = list(VOTERS)
-    counted = facts.select(*(VOTERS[n]().alias(n) for n in names)).groupBy(*names).count().collect()
-    if not counted:
-        return QualityModel(LabelModel(0.5, {n: np.full((2, 3), 1 / 3) for n in names}), None, 0.0)
-    patterns = np.array([[r[n] for n in names] for r in counted], int)
-    counts = np.array([r["count"] for r in counted], float)
-    labels = fit_labels(patterns, counts, names)
-    model = QualityModel(labels, None, 0.0)
-    posterior = labels.posterior(patterns)
-    if not ((posterior > 0.5).any() and (posterior < 0.5).any()):
-        return model
-    part = int(1_000_000 * min(1.0, sample / counts.sum()))
-    chosen = _facts(docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < part), id_col, text_col).select(F.monotonically_increasing_id().alias("row"), model._posterior().alias("p"), "_n", "_marks")
-    found = (
-        chosen.select("row", "p", "_n", F.explode("_marks").alias("m")).select("row", "p", "_n", _slot(F.col("m"), features).alias("slot"))
-        .groupBy("row", "slot").agg((F.count(F.lit(1)) / F.first("_n")).alias("share"), F.first("p").alias("p")).orderBy("row", "slot").toArrow()
-    )
-    _, at, row = np.unique(found["row"].to_numpy(), return_index=True, return_inverse=True)
-    if len(at):
-        model.weights, model.bias = fit_scorer(row, found["slot"].to_numpy(), found["share"].to_numpy(), found["p"].to_numpy()[at], features)
+        model = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = model.words()
+            for b in _pieces(batches):
+                n, posterior, score = zip(*model.judge((t.as_py() for t in b.column(1)), words), strict=True)
+                kept = [min(p, s) >= threshold for p, s in zip(posterior, score, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(posterior), pa.array(score), pa.array(kept)], names=["id", "n_words", "posterior", "score", "kept"])
+
+        ship_package(docs.sparkSession)
+        kind = docs.schema[id_col].dataType.simpleString()
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return rows.mapInArrow(run, f"id {kind}, n_words long, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)
+
+
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def _share_of(row_hash: Column, part: float) -> Column:
+    """Whether a row belongs to a share of all rows, by a hash of it."""
+    return F.shiftrightunsigned(row_hash, 11) <= int(min(1.0, part) * (1 << 53))
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, labelled: int) -> list[str]:
+    """The lexicon of about ``labelled`` rows that ``labels`` marks in ``toxic_col`` as toxic (1) or not (0)."""
+    n = labels.count()
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isin(0, 1)).select(F.col(id_col).alias("_marked"), F.col(toxic_col).alias("_toxic"))
+    marked = marked.where(_share_of(F.xxhash64("_marked"), labelled / max(n, 1))).dropDuplicates(["_marked"]).limit(2 * labelled)
+    texts = docs.join(F.broadcast(marked), F.col(id_col) == F.col("_marked")).select(F.col(text_col).alias("text"), "_toxic").limit(2 * labelled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            terms = [sorted({x for w in set((t.as_py() or "").encode().split()) for x in terms_of(w.decode())}) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), b.column(1).cast(pa.int32())], names=["terms", "toxic"])
+
+    ship_package(docs.sparkSession)
+    found = texts.mapInArrow(run, "terms array<string>, toxic int").toArrow()
+    return fit_lexicon([set(t) for t in found["terms"].to_pylist()], [x == 1 for x in found["toxic"].to_pylist()])
+
+
+def fit_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None, toxic_col: str = "toxic",
+    features: int = 1 << 16, sample: int = 4_000, labelled: int = 4_000,
+) -> QualityModel:
+    """Fits label model and scorer on about ``sample`` rows, chosen by a hash of id and text among all rows, never more than twice as many.
+
+    EM finds the voters' accuracies from their votes on these rows. The scorer is a logistic
+    regression on hashed words, first letters of words and word shapes, with the posteriors
+    as its targets. What comes to the driver is bounded by ``sample`` texts' distinct words.
+    Scoring covers all rows. Without rows of both kinds there is no scorer, and the
+    posterior itself is the score. Rows are judged by their text alone.
+
+    ``labels`` (the same id column, ``toxic_col`` 0 or 1) gives two of the voters a lexicon of words and first
+    letters, learned from about ``labelled`` of its rows (see ``fit_lexicon``); without it these voters have no view.
+    """
+    lexicon = [] if labels is None else learn_lexicon(docs, labels, id_col, text_col, toxic_col, labelled)
+    unknown = {q: LabelModel(0.5, {n: np.full((2, 3), 1 / 3) for n in names}) for q, names in VOTERS.items()}
+    nothing = QualityModel(unknown, None, 0.0, lexicon)
+    n_rows = docs.count()
+    if not n_rows:
+        return nothing
+    chosen = docs.where(_share_of(F.xxhash64(id_col, text_col), sample / n_rows)).select(F.col(text_col).alias("text")).limit(2 * sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(lexicon, features)
+        for b in _pieces(batches):
+            votes, slots, shares = [], [], []
+            for t in b.column(0):
+                facts, counted = _facts(t.as_py() or "", words)
+                if facts.n:
+                    met = Counter()
+                    for c, own in counted:
+                        for s in own:
+                            met[s] += c
+                    votes.append([vote(facts) for names in VOTERS.values() for vote in names.values()])
+                    slots.append(sorted(met))
+                    shares.append([met[s] / facts.n for s in slots[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(votes, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))],
+                names=["votes", "slots", "shares"],
+            )
+
+    ship_package(docs.sparkSession)
+    found = chosen.mapInArrow(run, "votes array<int>, slots array<int>, shares array<double>").toArrow()
+    if not found.num_rows:
+        return nothing
+    votes, model, posterior, at = np.array(found["votes"].to_pylist(), int), QualityModel({}, None, 0.0, lexicon), 1.0, 0
+    for question, names in VOTERS.items():
+        patterns, row, counts = np.unique(votes[:, at : at + len(names)], axis=0, return_inverse=True, return_counts=True)
+        model.labels[question] = fit_labels(patterns, counts.astype(float), list(names))
+        posterior, at = posterior * model.labels[question].posterior(patterns)[row.reshape(-1)], at + len(names)
+    if (posterior > 0.5).any() and (posterior < 0.5).any():
+        slots = found["slots"].combine_chunks()
+        row = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
+        model.weights, model.bias = fit_scorer(row, slots.flatten().to_numpy(), found["shares"].combine_chunks().flatten().to_numpy(), posterior, features)
     return model
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit: int) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit: object) -> DataFrame:
     """One row per input row: id, n_words, posterior, score, kept (see ``fit_quality`` and ``QualityModel.score``).
 
     Null ids and repeated rows are scored like others; other columns are ignored; an empty table gives no rows.
@@ -197,10 +384,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return fit_quality(docs, id_col, text_col, **fit).score(docs, id_col, text_col, threshold)
 
 
-def drop_low_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; rows are scored where they are read, and nothing is shuffled."""
-    model = fit_quality(docs.select(F.lit(0).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    whole = docs.select(F.struct(*docs.columns).alias("_whole"), F.col(text_col).alias("_judged"))
-    # The row number keeps the filter above the features, which are else computed once more for it.
-    scored = model.score(whole, "_whole", "_judged", threshold).withColumn("_row", F.monotonically_increasing_id())
-    return scored.where("kept").select("_whole.*")
+def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit: object) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; rows are judged where they are read, and nothing is shuffled.
+
+    Null and empty texts go. Rows with null or repeated ids and repeated rows are judged each by its
+    text; columns keep their names, whatever these are; an empty table stays empty.
+    """
+    model, at, schema = fit_quality(docs, id_col, text_col, **fit), docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = model.words()
+        for b in _pieces(batches):
+            kept = [min(p, s) >= threshold for _, p, s in model.judge((t.as_py() for t in b.column(at)), words)]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, schema)

@@ -44,7 +44,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
