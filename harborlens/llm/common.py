@@ -89,3 +89,46 @@ def bit_is_set(h: Column, bits: int) -> Column:
 
 def bit_slot(h: Column, bits: int) -> Column:
     return (F.pmod(h, F.lit(bits)) / 64).cast("long")
+
+
+def dealt(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int, by: list[str], least: int = 1_000, lists: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys``, ready to be joined on ``keys`` and ``_part``: no part of a hot key has many more than ``most`` rows.
+
+    ``counts`` has a row for each key and says in ``n`` how many of the ``total`` rows have it. Keys of more than
+    ``most`` rows (``least``, or a ``lists``-th of all if that is more) are dealt into parts
+    by a hash of the columns ``by``, and their row in ``counts`` is repeated for each part.
+    The list of these keys, which alone is broadcast, has fewer than ``lists`` rows whatever the input.
+    """
+    most = max(least, total // lists)
+    parts = (F.floor(F.col(n) / most) + 1).cast("int")
+    hot = counts.where(F.col(n) > most).select(*keys, parts.alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
+    return rows, counts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def own_hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a text (null: empty)."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("_own1"), F.xxhash64(F.lit(1), text).alias("_own2")]
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id (null like others) and text hashes are in ``lost`` (_id, _own1, _own2)."""
+    h1, h2 = own_hashes(docs[text_col])
+    lost = lost.select("_id", "_own1", "_own2").distinct()
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]) & (h1 == lost["_own1"]) & (h2 == lost["_own2"]), "left_anti")
+
+
+def order_key(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """A column by which ids are compared, never null, and what stands for null, after all others: whole numbers as such, other ids as strings."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    last = F.lit(NULL_ID) if whole else F.lit("\U0010ffff")
+    return F.coalesce(F.col(id_col).cast("long" if whole else "string"), last), last
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet to a new folder below the checkpoint folder and reads it back."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import ship_package
+from harborlens.llm.common import own_hashes, ship_package, without
 
 #: Bytes of a word: 0-9, a-z and all outside ASCII; A-Z become a-z, the rest white space.
 _FOLD = bytes(
@@ -109,64 +110,72 @@ class SuffixAutomaton:
         return [(a, b) for a, b in found], items
 
 
-_OUT = "id {id}, n_words long, starts array<int>, ends array<int>, items array<{item}>"
+#: The automaton that a Python worker has built last, by the id of its broadcast.
+_BUILT: dict[int, SuffixAutomaton] = {}
+
+
+def _automaton(shared: Broadcast, number: int, window: int) -> SuffixAutomaton:
+    """The automaton of a broadcast block, built once for each worker rather than for each task."""
+    if number not in _BUILT:
+        _BUILT.clear()
+        _BUILT[number] = SuffixAutomaton([(item, words(t)) for item, t in shared.value], window)
+    return _BUILT[number]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
+    """The items, as (item, text), in broadcast blocks of about ``block_bytes`` of text, dealt by a hash of item and text.
+
+    Sizes are summed on the executors; the driver holds one block at a time, and hands it on before the next is read.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    many = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(many))
+    return [spark.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()]) for k in range(many)]
 
 
 def benchmark_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = 13, block_words: int = 500_000,
+    item_text_col: str = "text", window: int = 13, block_bytes: int = 2 << 20, carry: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per input row: id, n_words, n_hit, starts, ends (word spans [start, end)), items (sorted as strings).
+    """One row per input row: id, n_words, n_hit, starts, ends (word spans [start, end)), items (sorted as strings), the ``carry`` columns.
 
     Words are A-Z in lower case, digits, a-z and all that is not ASCII. A window is
     ``window`` consecutive words of an item; a shorter item, unless it has no words, is
     one window. Training words stream through the automaton, which gives the longest
     item passage that ends at each word; words in any window's occurrence are hit.
 
-    The automaton is broadcast. A benchmark of more than ``block_words`` words is cut into
-    blocks of whole items with an automaton each, so what a task holds at once has that
+    The items are broadcast, and each worker builds their automaton once. A benchmark of more than ``block_bytes`` of text is
+    dealt into blocks of whole items of about that size with an automaton each, so what driver and workers hold at once has that
     bound (and one item's length); the documents pass once per block and the spans are merged.
 
-    Null texts have no words; null items ids are no items; an empty benchmark hits nothing.
+    Null texts have no words; null item ids are no items; an empty benchmark hits nothing.
     Repeated rows are treated alike; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = {"id": docs.schema[id_col].dataType.simpleString(), "item": benchmark.schema[item_col].dataType.simpleString()}
-    schema = "row long, " + _OUT.format(**kinds)
-
-    blocks, size = [[]], 0
-    for r in benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull()).toLocalIterator():
-        ws = words(r[1])
-        if blocks[-1] and size + len(ws) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], ws))
-        size += len(ws)
-
-    def scan(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), *carry)
+    kept = rows.columns[2:]
+    schema = ", ".join(["row long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[2:]), "n_words long, starts array<int>, ends array<int>, items array<string>"])
+
+    def scan(shared: Broadcast) -> DataFrame:
+        number = shared._jbroadcast.id()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, window)
+            automaton = _automaton(shared, number, window)
             for b in batches:
-                made = []
-                for t in b.column(2):
+                n, starts, ends, items = [], [], [], []
+                for t in b.column(1):
                     ws = words(t.as_py())
-                    spans, items = automaton.spans(ws)
-                    made.append((len(ws), [a for a, _ in spans], [e for _, e in spans], list(items)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0), b.column(1), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int32())),
-                        pa.array([m[2] for m in made], pa.list_(pa.int32())), pa.array([m[3] for m in made], pa.list_(pa.from_numpy_dtype("int64") if kinds["item"] == "bigint" else None) if kinds["item"] == "bigint" else None),
-                    ],
-                    names=["row", "id", "n_words", "starts", "ends", "items"],
-                )
+                    spans, met = automaton.spans(ws)
+                    n.append(len(ws)), starts.append([a for a, _ in spans]), ends.append([e for _, e in spans]), items.append(list(met))
+                ints = pa.list_(pa.int32())
+                found = [pa.array(n, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *found], names=["row", *kept, "n_words", "starts", "ends", "items"])
 
         return rows.mapInArrow(run, schema)
 
-    parts = [scan(b) for b in blocks]
+    parts = [scan(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     if len(parts) == 1:
         met = parts[0]
     else:
@@ -174,7 +183,7 @@ def benchmark_spans(
         for p in parts[1:]:
             both = both.unionByName(p)
         spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
-        met = both.groupBy("row", "id", "n_words").agg(F.array_sort(spans).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        met = both.groupBy("row", *kept, "n_words").agg(F.array_sort(spans).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         # Spans in order of their starts; one that touches the last one found widens it.
         merged = F.aggregate(
             "spans",
@@ -191,7 +200,7 @@ def benchmark_spans(
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return met.select(
         F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "starts", "ends",
-        F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"),
+        F.array_sort("items").alias("items"), *kept[1:],
     )
 
 
@@ -201,7 +210,10 @@ def contaminated(n_hit, n_words, share: float = 0.05):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents of whose words a twentieth or more stands in benchmark windows."""
-    met = benchmark_spans(docs, benchmark, id_col, text_col).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    lost = met.select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
+    """``docs`` without the documents of whose words a twentieth or more stands in benchmark windows.
+
+    Rows are told apart by id (null like others) and text, and rows alike in both go together; texts that are null or have no words stay.
+    Columns keep their names; an empty table stays empty, and an empty benchmark takes nothing.
+    """
+    met = benchmark_spans(docs.select(id_col, text_col), benchmark, id_col, text_col, carry=own_hashes(F.col(text_col)))
+    return without(docs, met.where(contaminated(F.col("n_hit"), F.col("n_words"))).withColumnRenamed(id_col, "_id"), id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import bit_is_set, bit_slot, bit_table, checkpointed
+from harborlens.llm.common import bit_is_set, bit_slot, bit_table, checkpointed, dealt, own_hashes, without
 
 
 def _may_repeat(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
@@ -40,8 +40,8 @@ def exact_dedup(
     Texts are grouped by byte length; of lengths met again, a hash of the first
     ``prefix_chars`` characters is taken; of prefixes met again, the SHA-256 of the
     whole text. Only slim rows (id, length, hash) are shuffled, never texts. Counts
-    are combined before each shuffle, and the last join may be split when a group of
-    copies is large. ``filter_bits`` bounds what is broadcast (a bit each).
+    are combined before each shuffle, and a large group's rows are dealt into parts for
+    the last join (see ``dealt``). ``filter_bits`` bounds what is broadcast (a bit each).
 
     Null texts count as empty ones. ``keep`` (max or min) says which id of a group
     stays; null ids never stay before others, and a group of null ids only keeps all.
@@ -67,12 +67,12 @@ def exact_dedup(
     groups = (
         hashed.where("_hash is not null").groupBy("_len", "_hash")
         .agg(F.count(F.lit(1)).alias("_n"), (F.max if keep == "max" else F.min)("_id").alias("_keep"))
-        .where("_n > 1")
-        .withColumnRenamed("_len", "_glen").withColumnRenamed("_hash", "_ghash")
+        .where("_n > 1").withColumnRenamed("_hash", "_key")
     )
     # Rows without a hash have no copy; their ids spread them over the partitions.
     key = F.coalesce("_hash", F.unhex(F.sha2(F.col("_id").cast("string"), 224)))
-    found = hashed.withColumn("_key", key).join(groups, (F.col("_key") == F.col("_ghash")) & (F.col("_len") == F.col("_glen")), "left")
+    parts, groups = dealt(hashed.withColumn("_key", key), groups, ["_len", "_key"], "_n", hashed.count(), ["_id", *own])
+    found = parts.join(groups, ["_len", "_key", "_part"], "left")
     keep_id = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return found.select(
         F.col("_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
@@ -81,6 +81,11 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; rows alike in id and text both stay."""
-    lost = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
+    """``docs`` without the rows whose text another row with a larger id has.
+
+    Rows are told apart by id and text (null texts are empty ones): a row that shares its id with a dropped one but has
+    another text stays; rows alike in both stay or go together. A row of null id goes where its
+    text has a row with an id. Columns keep their names; an empty table stays empty.
+    """
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *own_hashes(F.col(text_col)))
+    return without(docs, exact_dedup(slim, "_id", "_text", carry=["_own1", "_own2"]).where("not kept"), id_col, text_col)

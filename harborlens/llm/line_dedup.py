@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import NULL_ID, WHITE, ascii_lower
+from harborlens.llm.common import WHITE, ascii_lower, checkpointed, dealt, order_key
 
 
 def _lines(c: Column) -> Column:
@@ -23,16 +23,17 @@ def line_dedup(
 
     Lines are exploded with their positions and hashed to 128 bits; only hashes, ids and
     positions travel by key. Holders are counted with a map-side combine, so a line that
-    a third of all documents hold is a few rows to its reducer, and the join back to the
-    lines can be split. Texts move once, to meet their dropped positions.
+    a third of all documents hold is a few rows to its reducer; for the join back, the lines
+    of such a key are dealt into parts (see ``dealt``). Texts move once, to meet their dropped positions.
 
     Null or empty texts are one empty line. Rows that share an id are one document. A
-    null id counts as one document that comes after all others. An empty table gives no
+    null id counts as one document that comes after all others; ids other than whole numbers
+    are compared as strings. An empty table gives no
     rows; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    rows = rows.withColumns({"_doc": F.coalesce(F.col("_id").cast("long"), F.lit(NULL_ID)), "_own": F.xxhash64("_text")})
+    rows = rows.withColumns({"_doc": order_key(rows, "_id")[0], "_own": F.xxhash64("_text")})
     # Trimmed lines of too few bytes can't have enough code points: they are left out before the dearer steps.
     lines = (
         rows.select("_doc", "_own", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
@@ -42,19 +43,23 @@ def line_dedup(
         .select("_doc", "_own", "_pos", ascii_lower(F.col("_line")).alias("_key"))
         .select("_doc", "_own", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2"))
     )
+    times = F.count(F.lit(1)).alias("_n")
     if min_docs == 2:  # two documents: the smallest and the largest id differ
-        held = lines.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last").drop("_last")
+        held = lines.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), times).where("_first < _last").drop("_last")
     else:
         held = (
-            lines.groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_one"))
-            .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_docs"))
+            lines.groupBy("_h1", "_h2", "_doc").agg(times)
+            .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_n"))
             .where(F.col("_docs") >= min_docs).drop("_docs")
         )
+    held = checkpointed(held)
+    repeats = held.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    parts, held = dealt(lines, held, ["_h1", "_h2"], "_n", repeats, ["_doc", "_pos", "_own"])
     dropped = (
-        lines.join(held, ["_h1", "_h2"]).where("_doc <> _first")
+        parts.join(held, ["_h1", "_h2", "_part"]).where("_doc <> _first")
         .groupBy("_doc", "_own").agg(F.collect_set("_pos").alias("_drop"))
     )
-    met = rows.join(dropped.hint("shuffle_hash"), ["_doc", "_own"], "left")
+    met = rows.join(dropped, ["_doc", "_own"], "left")
     split = _lines(F.col("_text"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop")), lambda i: F.get(split, i))
     return met.select(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import checkpointed, ship_package
+from harborlens.llm.common import checkpointed, dealt, own_hashes, ship_package, without
 from harborlens.llm.components import connected_components
 
 BITS = 64
@@ -40,17 +40,19 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): a row per input row, the fingerprint as a signed long."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carry: Sequence[Column] = ()) -> DataFrame:
+    """(id, fp, and the ``carry`` columns): a row per input row, the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carry)
+    names = ["id", "fp", *rows.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=names)
 
     ship_package(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join([kinds[0], "fp long", *kinds[2:]]))
 
 
 def _near(a: np.ndarray, b: np.ndarray | np.int64, most: int) -> np.ndarray:
@@ -173,26 +175,39 @@ def near_links(fps: DataFrame, most: int = 4, block: int = 8192) -> DataFrame:
     return links
 
 
+def _components(fps: DataFrame, most: int) -> DataFrame:
+    """``fps`` (id, fp and more) with the smallest id that each row's fingerprint reaches, as component."""
+    total = fps.count()
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = connected_components(near_links(nodes, most))
+    labelled = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("m"))
+    members, smallest = dealt(labelled, smallest, ["root"], "m", total, ["fp"])
+    by_fp = members.join(smallest, ["root", "_part"]).select("fp", "n", "component")
+    parts, by_fp = dealt(fps, by_fp, ["fp"], "n", total, fps.columns)
+    return parts.join(by_fp, ["fp", "_part"]).drop("_part", "n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links, its own included).
 
     Fingerprints link at ``most`` or fewer differing bits (see ``near_links``); equal ones
-    are one node, so exact copies cost nothing. Null texts and texts without words have
+    are one node, so exact copies cost nothing. Rows of one fingerprint, and fingerprints of one
+    component, are dealt into parts where there are many (see ``dealt``). Null texts and texts without words have
     fingerprint zero and link like others. Null ids are never the smallest unless alone.
     Other columns are ignored; an empty table gives no rows.
     """
-    fps = checkpointed(simhash(docs, id_col, text_col, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(near_links(nodes, most))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component"))
-    by_fp = labelled.join(smallest, "root").select(F.col("fp").alias("_fp"), "component")
-    return fps.join(by_fp, F.col("fp") == F.col("_fp"), "left").select(
+    return _components(checkpointed(simhash(docs, id_col, text_col, shingle)), most).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that a row of a smaller id in their component stands for."""
-    lost = near_duplicates(docs, id_col, text_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
+    """``docs`` without the rows that a row of a smaller id in their component stands for.
+
+    Rows are told apart by id and text (null texts are empty ones, and are near copies of each other): a row that shares
+    its id with a dropped one but has another text stays unless it is itself dropped; rows alike in both, and rows that share the smallest id, stay
+    or go together; a component of null ids only stays whole. Columns keep their names; an empty table stays empty.
+    """
+    fps = checkpointed(simhash(docs, id_col, text_col, shingle, own_hashes(F.col(text_col))))
+    return without(docs, _components(fps, most).where("not (id <=> component)").withColumnRenamed("id", "_id"), id_col, text_col)
