@@ -15,13 +15,14 @@ import xxhash
 from pyspark.sql import functions as F
 
 from harborlens.llm.bpe import Bpe, bpe_decode, bpe_encode
+from harborlens.llm.common import dealt
 from harborlens.llm.components import connected_components
 from harborlens.llm.decontaminate import SuffixAutomaton, benchmark_spans, contaminated, drop_contaminated, words
 from harborlens.llm.exact_dedup import drop_copies, exact_dedup
 from harborlens.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from harborlens.llm.line_dedup import line_dedup
 from harborlens.llm.lm_score import lm_scores
-from harborlens.llm.quality import VOTERS, drop_low_quality, fit_labels, fit_quality
+from harborlens.llm.quality import drop_low_quality, fit_labels, fit_lexicon, fit_quality, shape_of, terms_of
 from harborlens.llm.sharding import CapacityTree, pack, pack_into, shard
 from harborlens.llm.simhash import drop_near_copies, fingerprint, near_duplicates, near_links, spanning_edges
 from harborlens.llm.warc import BadRecord, member, read_records, read_warc, record, write_warc
@@ -207,12 +208,79 @@ def test_quality(spark):
     assert drop_low_quality(docs(spark, good[:5])).count() == 5
 
 
+def test_quality_scores_are_those_of_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [a + b for a in ("tara", "lomi", "Reku", "sano", "pelu") for b in ("n", "st", "la", "ro", "mi", "su", "ka", "te")]
+    prose = lambda n=60: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    abuse = lambda: " ".join(w for _ in range(5) for w in (*rng.sample(vocabulary, 5), "grob" + "".join(rng.sample("abcdefgh", 3))))
+    rows = [(i, prose()) for i in range(120)] + [(200 + i, abuse()) for i in range(20)] + [(300 + i, prose().upper().replace(" ", "!! ")) for i in range(15)]
+    rows += [(400, "idiot scum moron " * 3 + prose()), (401, "word word word word"), (402, ""), (403, "Ünd É! é 12 *** ... ßß")]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in [*range(100), *range(200, 210)]] + [(None, 1), (7, 0), (8, None)], "doc_id long, toxic int")
+    model = fit_quality(docs(spark, rows), labels=labels)
+    assert model.lexicon == ["grob-"]
+    slot = lambda m: xxhash.xxh64_intdigest(m) % len(model.weights)
+    for r in model.score(docs(spark, rows)).collect():
+        ws = dict(rows)[r.doc_id].split()
+        marks = [m for w in ws for m in ("=" + shape_of(w), *terms_of(w)[-1:])]
+        insults = [w for w in ws if w in ("idiot", "scum", "moron")]
+        listed = [w for w in ws if w.lower().startswith("grob")]
+        again = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
+        marks += ["#insult"] * len(insults) + ["#listed"] * len(listed) + ["#again"] * again + ["#seen"] * (len(ws) - len(set(ws)))
+        score = 1 / (1 + math.exp(-max(-30, min(30, sum(model.weights[slot(m)] for m in marks) / len(ws) + model.bias)))) if ws else 0.0
+        assert r.n_words == len(ws) and r.score == pytest.approx(score, abs=1e-9)
+        tone = model.labels["tone"]
+        votes = [-1 if len(insults) >= 2 else 0, -1 if len(insults) > 0.004 * len(ws) else 0, -1 if len(listed) >= 2 else 0, -1 if len(listed) > 0.004 * len(ws) else 0, int(not insults and not listed)]
+        assert r.posterior <= tone.posterior(np.array([votes]))[0] + 1e-9
+        assert r.kept == (min(r.posterior, r.score) >= 0.5)
+        if ws and r.doc_id not in (401, 403):
+            assert r.kept == (r.doc_id < 200), r
+    kept = {r.doc_id for r in drop_low_quality(docs(spark, rows), labels=labels).collect()}
+    assert kept == {r.doc_id for r in model.score(docs(spark, rows)).where("kept").collect()}
+
+
+def test_lexicon_and_shapes():
+    assert fit_lexicon([{"a", "x"}] * 30 + [{"a"}] * 30 + [{"bad", "a"}] * 5 + [{"worse"}] * 4, [False] * 60 + [True] * 9) == ["bad", "worse"]
+    assert fit_lexicon([], []) == [] and fit_lexicon([{"a"}], [True]) == []
+    assert [shape_of(w) for w in ("word", "Word", "WORD", "wOrd", "12a!!!", "É.", "...", "don't")] == ["a", "Aa", "A", "aAa", "0a!!", "A.", "..", "a'a"]
+    assert [terms_of(w) for w in ("Word,", "it", "--", "(Café)")] == [("word", "word-"), ("it",), (), ("café", "café-")]
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    rows = [(1, "x"), (2, "x"), (1, "unique"), (None, "x"), (None, None), (3, ""), (2, "x")]
+    left = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert left(drop_copies(docs(spark, rows))) == Counter([(2, "x"), (2, "x"), (1, "unique"), (3, "")])
+    assert left(drop_near_copies(docs(spark, rows))) == Counter([(1, "x"), (1, "unique"), (3, "")])
+    item = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    rows = [(1, "one two three"), (1, "clean"), (None, "one two three"), (None, None)]
+    assert left(drop_contaminated(docs(spark, rows), item)) == Counter([(1, "clean"), (None, None)])
+    for dropped in (drop_copies, drop_near_copies):
+        assert dropped(docs(spark, [])).count() == 0 and dropped(docs(spark, rows)).columns == docs(spark, rows).columns
+    words = spark.createDataFrame([("b", "some long line"), ("a", "some long line"), (None, "some long line")], "doc_id string, text string")
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup(words).collect()} == {("a", 0), ("b", 1), (None, 1)}
+    assert left(drop_copies(words)) == Counter([("b", "some long line")])
+
+
+def test_hot_keys_are_dealt_into_parts(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a very common line', concat('line of its own ', id)) as text")
+    got = exact_dedup(rows)
+    assert got.where("group_size = 1000 and keep_id = 2997").count() == 1000 and got.where("group_size = 1").count() == 2000
+    assert line_dedup(rows).where("n_dropped = 1").count() == 999
+    assert near_duplicates(rows).where("component_id = 0").count() == 1000
+    left, right = dealt(rows, rows.groupBy("text").count(), ["text"], "count", 3000, ["doc_id"], least=100)
+    joined = left.join(right, ["text", "_part"])
+    assert joined.count() == 3000 and left.groupBy("text", "_part").count().agg(F.max("count")).first()[0] < 200
+    exchanges = joined._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(text")
+    assert exchanges >= 2, "both sides of the join must be plain shuffles, which can be split"
+    star = spark.range(1, 3000).selectExpr("id as u", "0L as v")
+    assert connected_components(star).where("root = 0").count() == 2999
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.7
     votes = np.stack([np.where(rng.random(5000) < a, truth, ~truth) * 2 - 1 for a in (0.95, 0.8, 0.6)], axis=1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = fit_labels(patterns, counts.astype(float), list(VOTERS)[:3])
+    model = fit_labels(patterns, counts.astype(float), ["a", "b", "c"])
     right = [t[1, 2] for t in model.votes.values()]
     assert right[0] > right[1] > right[2]
 
@@ -351,8 +419,8 @@ def test_decontamination(spark):
                     items |= m
                     hit |= set(range(k, k + n))
         want[i, len(ws), len(hit), ",".join(sorted(map(str, items)))] += 1
-    for block_words in (10**6, 40):
-        got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in benchmark_spans(docs(spark, rows), b, block_words=block_words).collect())
+    for block_bytes in (10**6, 200):
+        got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in benchmark_spans(docs(spark, rows), b, block_bytes=block_bytes).collect())
         assert got == want
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert benchmark_spans(docs(spark, rows), nothing).where(contaminated(F.col("n_hit"), F.col("n_words"))).count() == 0

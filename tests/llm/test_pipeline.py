@@ -14,10 +14,13 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     item = prose(40)
     rows = [
         *clean, (100, clean[0][1]), (101, long), (102, long.replace(" ", "  ")), (103, prose().upper().replace(" ", "!! ")), (104, prose(80) + " " + item), (105, None), (106, ""),
+        *((200 + i, " ".join((prose(20)[:-1], "grobunde", "grobal", prose(20)))) for i in range(8)), (300, "You moron. " + prose(30) + " Idiot, scum."),
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    marked = [(i, 1, 0) for i, _ in clean[:40]] + [(200 + i, 1, 1) for i in range(6)]
+    spark.createDataFrame(marked, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path))
