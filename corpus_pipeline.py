@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from harborlens.llm.bpe import bpe_digests
-from harborlens.llm.common import table
+from harborlens.llm.common import stored, table
 from harborlens.llm.decontaminate import drop_contaminated
 from harborlens.llm.exact_dedup import drop_copies
 from harborlens.llm.quality import drop_low_quality
@@ -18,8 +18,8 @@ from harborlens.llm.simhash import drop_near_copies
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on them all, takes for good."""
-    return drop_low_quality(docs)
+    """Documents that the classifier takes for good: well formed and civil."""
+    return drop_low_quality(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, one after another."""
+    """All stages over ``documents``, one after another; each but the last is written to the shared folder, so that it runs once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
