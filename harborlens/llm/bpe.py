@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -16,6 +16,9 @@ from harborlens.llm.common import ship_package
 #: How byte-level BPE cuts a text before the merges (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same cuts at white space only: no cut of PATTERN reaches across one of these.
+CHUNK = r" ?\S+|\s+(?!\S)|\s+"
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter by which a byte-level vocabulary writes each byte."""
@@ -27,63 +30,84 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """A tokenizer file of byte-level BPE: merges by rank, and special tokens that are cut out of texts first."""
 
-    def __init__(self, path: str, memo: int = 200_000) -> None:
+    def __init__(self, path: str, memo: int = 500_000) -> None:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        self._check(data)
         byte = {c: b for b, c in byte_letters().items()}
         raw = {t: bytes(byte[c] for c in t) for t in data["model"]["vocab"]}
         self.ids = {raw[t]: i for t, i in data["model"]["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in data["added_tokens"]}
         self.words = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.ranks = {}
+        self.bytes, self.ranks = [self.ids.get(bytes((b,))) for b in range(256)], {}
         for rank, m in enumerate(data["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.ranks[raw[a], raw[b]] = rank
-        self.find = regex.compile(PATTERN).findall
+            a, b = (raw[t] for t in (m if isinstance(m, list) else m.split(" ")))
+            self.ranks[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
+        self.find, self.chunks = regex.compile(PATTERN).findall, regex.compile(CHUNK).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo, self.most = {}, memo
 
+    @staticmethod
+    def _check(data: dict) -> None:
+        """Refuses a file with settings that this class doesn't follow, rather than encode otherwise than it says."""
+        model, cut = data["model"], data.get("pre_tokenizer") or {}
+        wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        wrong += ["normalizer"] * bool(data.get("normalizer")) + ["model type"] * (model.get("type", "BPE") != "BPE")
+        wrong += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or cut.get("use_regex", True) is not True)
+        wrong += ["added_tokens"] * any(a.get(k) for a in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+        if wrong:
+            raise ValueError(f"a tokenizer file with settings that aren't supported: {', '.join(wrong)}")
+
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: pairs leave a heap by rank and place; an entry whose symbols have changed since is skipped."""
-        symbols = [word[i : i + 1] for i in range(len(word))]
-        n, ranks = len(symbols), self.ranks
+        symbols = list(map(self.bytes.__getitem__, word))
+        n, ranks = len(symbols), self.ranks.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
+        heap = [(r[0], i, a, b, r[1]) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks((a, b)))]
+        heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, both = heappop(heap)
             j = after[i]
             if symbols[i] != a or j >= n or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = a + b, None
+            symbols[i], symbols[j] = both, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
-        ids = self.ids
-        return [ids[s] for s in symbols if s is not None]
+                if r := ranks((both, symbols[k])):
+                    heappush(heap, (r[0], i, both, symbols[k], r[1]))
+            if (h := before[i]) >= 0 and (r := ranks((symbols[h], both))):
+                heappush(heap, (r[0], h, symbols[h], both, r[1]))
+        return [s for s in symbols if s is not None]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         memo = self.memo
-        for part in self.cut.split(text) if self.cut else (text,):
-            if part in self.special:
-                out.append(self.special[part])
+        for piece in self.cut.split(text) if self.cut else (text,):
+            if piece in self.special:
+                out.append(self.special[piece])
                 continue
-            for word in self.find(part):
-                ids = memo.get(word)
+            for chunk in self.chunks(piece):
+                ids = memo.get(chunk)
                 if ids is None:
-                    ids = self.merge(word.encode())
-                    if len(word) < 32:  # long words seldom return
-                        if len(memo) >= self.most:
-                            memo.clear()
-                        memo[word] = ids
+                    ids = []
+                    for word in self.find(chunk):
+                        part = memo.get(word)
+                        if part is None:
+                            part = self._kept(word, self.merge(word.encode()))
+                        ids += part
+                    if len(ids) > len(part):
+                        self._kept(chunk, ids)
                 out += ids
         return out
 
+    def _kept(self, word: str, ids: list[int]) -> list[int]:
+        if len(word) < 32:  # long words seldom return
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            self.memo[word] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' bytes one after another; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.words.__getitem__, ids)).decode("utf-8", "replace")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import ascii_folded
+from harborlens.llm.common import ascii_folded, checkpointed
 
 #: Phrases whose places are counted: (label, words).
 PHRASES = (
@@ -17,20 +17,20 @@ PHRASES = (
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 )
-#: Notices: (label, words). A block that holds most words of one gets its label.
+#: Notices: (label, words, words that a block must hold, words that it may not hold). A block that holds most words of one gets its label.
 TEMPLATES = (
-    ("gpl", "licensed under the gnu general public license version"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("gpl", "licensed under the gnu general public license version", "gnu general", "lesser affero"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general", "lesser affero"),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation", "lesser general", ""),
+    ("mit", "released under the mit license", "mit", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "granted charge", ""),
+    ("apache", "licensed under the apache license version 2 0", "apache", ""),
+    ("cc-by", "licensed under cc by 4 0", "cc by", ""),
+    ("cc-by", "creative commons attribution 4 0 international license", "commons attribution", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", ""),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", ""),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,7 +39,7 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_folded(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _strings(values: Sequence[str]) -> Column:
+def _array(values: Sequence[str | int]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
@@ -48,7 +48,7 @@ def license_scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     phrases: Sequence[tuple[str, str]] = PHRASES,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str, str, str]] = TEMPLATES,
     threshold: float = 0.8,
     stride: int = 32,
 ) -> DataFrame:
@@ -56,7 +56,8 @@ def license_scan(
 
     A text is cut into blocks of ``2 * stride`` words that start every ``stride`` words,
     so that any passage of up to ``stride + 1`` words lies in a block. A block meets a template when
-    it holds at least ``threshold`` of the template's distinct words; a phrase must be
+    it holds at least ``threshold`` of the template's distinct words, those among them by which the license is told
+    from others, and no word that speaks for another; a phrase must be
     held whole, and its places (all its words one after another) are then counted.
 
     The join is exact. Words of the templates are ordered by the number of documents that
@@ -65,47 +66,71 @@ def license_scan(
     overlap; blocks are made only around such words, met by an equality join on the word
     (the template side has a row for each template word, so it is broadcast), thinned
     by block length and by the positions of the first shared word, and verified. Words
-    of no template can't be shared, so blocks are compared by their template words only.
+    of no template can't be shared, so a text is cut into words once, and only the places of
+    template words are kept (in the checkpoint folder, a number each); all else works on these.
 
     Null or empty texts have no words, no labels and score 0. ``score`` is the largest
     share of a template's words that an accepted block holds (1 for a phrase). Repeated
     rows are scanned by themselves; other columns are ignored. An empty table gives no rows.
     """
-    wanted = [(label, t.split(" "), 1.0, True) for label, t in phrases] + [(label, t.split(" "), threshold, False) for label, t in templates]
-    if any(len(w) > stride + 1 for _, w, _, _ in wanted):
+    wanted = [(label, t.split(" "), 1.0, True, [], []) for label, t in phrases]
+    wanted += [(label, t.split(" "), threshold, False, must.split(), never.split()) for label, t, must, never in templates]
+    if any(len(x[1]) > stride + 1 for x in wanted):
         raise ValueError("a phrase or template is longer than a block can hold at any place")
-    vocabulary = sorted({w for _, ws, _, _ in wanted for w in ws})
-
-    rows = docs.select(F.col(id_col).alias("_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
-    counted = rows.select(F.explode(F.array_intersect("_words", _strings(vocabulary))).alias("_w")).groupBy("_w").count()
-    frequency = {r["_w"]: r["count"] for r in counted.collect()}  # a row for each template word at most
+    vocabulary = sorted({w for x in wanted for w in (*x[1], *x[4], *x[5])})
+    code, base = {w: i for i, w in enumerate(vocabulary)}, len(vocabulary)
+
+    # A mark is a template word at a place: place * base + the word's number.
+    spelled = docs.select(F.col(id_col).alias("_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    mark = lambda w, i: F.when(w.isin(vocabulary), i.cast("long") * base + F.array_position(_array(vocabulary), w) - 1)
+    rows = checkpointed(
+        spelled.select(
+            F.monotonically_increasing_id().alias("_row"), "_id", F.size("_words").cast("long").alias("n_words"),
+            F.array_compact(F.transform("_words", mark)).alias("_marks"),
+        )
+    )
+    word, place = (lambda m: (m % base).cast("int")), (lambda m: F.floor(m / base).cast("long"))
+    counted = rows.select(F.explode(F.array_distinct(F.transform("_marks", word))).alias("_w")).groupBy("_w").count()
+    frequency = {vocabulary[r["_w"]]: r["count"] for r in counted.collect()}  # a row for each template word at most
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
     index = []
-    for number, (label, words, least, exact) in enumerate(wanted):
+    for number, (label, words, least, exact, must, never) in enumerate(wanted):
         ordered = sorted(set(words), key=rank.__getitem__)
         need = max(1, math.ceil(least * len(ordered) - 1e-9))
-        for place, word in enumerate(ordered[: len(ordered) - need + 1]):
-            index.append((word, number, label, words if exact else None, ordered, place, need))
+        codes = [[code[w] for w in ws] for ws in (ordered, must, never)]
+        for at, w in enumerate(ordered[: len(ordered) - need + 1]):
+            index.append((code[w], number, label, [code[x] for x in words] if exact else None, *codes, at, need))
     prefix = docs.sparkSession.createDataFrame(
-        index, "_token string, _template int, _label string, _phrase array<string>, _tokens array<string>, _place int, _need int"
+        index, "_token int, _template int, _label string, _phrase array<int>, _tokens array<int>, _must array<int>, _never array<int>, _place int, _need int"
     )
     first_words = sorted({x[0] for x in index})
 
-    n = F.size("_words")
-    marks = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", i).isin(first_words))
-    numbers = F.array_distinct(F.flatten(F.transform(marks, lambda i: F.array((i / stride).cast("int"), (i / stride).cast("int") - 1))))
-    blocks = F.transform(
-        F.filter(numbers, lambda k: k >= 0),
-        lambda k: F.struct(k.alias("k"), F.slice("_words", k * stride + 1, F.lit(2 * stride)).alias("words")),
+    # Of each first word, the blocks that hold it and none before it, with its number among the marks.
+    firsts = F.filter(
+        F.transform("_marks", lambda m, j: F.struct(place(m).alias("p"), word(m).alias("w"), j.alias("j"))), lambda f: f["w"].isin(first_words)
+    )
+    before = lambda i: F.coalesce(F.get("_firsts", i - 1)["p"], F.lit(-1))
+    blocks = F.flatten(
+        F.transform(
+            "_firsts",
+            lambda f, i: F.transform(
+                F.filter(
+                    F.array(F.floor(f["p"] / stride) - 1, F.floor(f["p"] / stride)), lambda k: (k >= 0) & ((i == 0) | (before(i) < k * stride))
+                ),
+                lambda k: F.struct(k.alias("k"), f["j"].alias("j")),
+            ),
+        )
     )
-    blocks = F.when(F.arrays_overlap("_words", _strings(first_words)), blocks)
+    # A block has 2 * stride places, so its marks are near that one.
+    near = F.slice("_marks", F.greatest(F.col("_b.j") - 2 * stride, F.lit(0)) + 1, F.lit(4 * stride + 1))
+    inside = F.filter(near, lambda m: (place(m) >= F.col("_b.k") * stride) & (place(m) < (F.col("_b.k") + 2) * stride))
     block = (
-        rows.select("_id", "_words", F.monotonically_increasing_id().alias("_row"))
-        .select("_id", "_row", n.cast("long").alias("n_words"), F.explode_outer(blocks).alias("_b"))
-        .select("_row", "_id", "n_words", F.col("_b.k").alias("_k"), F.col("_b.words").alias("_block"))
-        .withColumn("_held", F.array_intersect(_strings(order), F.col("_block")))
+        rows.withColumn("_firsts", firsts)
+        .select("_row", "_id", "n_words", F.when(F.size("_firsts") > 0, F.col("_marks")).alias("_marks"), F.explode_outer(blocks).alias("_b"))
+        .select("_row", "_id", "n_words", F.col("_b.k").alias("_k"), inside.alias("_block"))
+        .withColumn("_held", F.array_intersect(_array([code[w] for w in order]), F.transform("_block", word)))
     )
     pairs = block.select("*", F.posexplode_outer("_held").alias("_at", "_token")).join(F.broadcast(prefix), "_token", "left")
     shared = F.array_intersect("_tokens", F.col("_held"))
@@ -114,14 +139,16 @@ def license_scan(
         & (F.least(F.size("_tokens") - F.col("_place"), F.size("_held") - F.col("_at")) >= F.col("_need"))
         & (F.size(shared) >= F.col("_need"))
         & (F.get(shared, F.lit(0)) == F.col("_token"))  # a pair is taken at its first shared word only
+        & (F.size(F.array_except("_must", "_held")) == 0)
+        & ~F.arrays_overlap("_never", "_held")
     )
     met = F.coalesce(fits, F.lit(False))
+    whole = lambda m: F.forall(  # noqa: E731  the phrase's words stand here one after another
+        F.transform("_phrase", lambda w, i: F.array_contains("_block", (place(m) + i) * base + w)), lambda held: held
+    )
     places = F.when(
         met & F.col("_phrase").isNotNull(),
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(stride - 1)), lambda p: F.slice("_block", p + 1, F.size("_phrase")) == F.col("_phrase")),
-            lambda p: F.col("_k").cast("long") * stride + p,
-        ),
+        F.transform(F.filter("_block", lambda m: (place(m) < (F.col("_k") + 1) * stride) & (word(m) == F.get("_phrase", F.lit(0))) & whole(m)), place),
     )
     found = pairs.withColumns({"_met": met, "_places": places}).withColumns(
         {
@@ -147,13 +174,14 @@ def license_scan(
 
 
 def brute_force_sql(
-    phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, stride: int = 32
+    phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str, str, str]] = TEMPLATES, threshold: float = 0.8, stride: int = 32
 ) -> str:
     """DuckDB SQL for ``license_scan`` over ``documents``: every block against every template."""
     listed = ", ".join(f"('{label}', string_split('{words}', ' '))" for label, words in phrases)
-    given = ", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in templates)
+    listing = lambda words: f"list_distinct(string_split('{words}', ' '))" if words else "[]::varchar[]"
+    given = ", ".join(f"('{label}', {listing(words)}, {listing(must)}, {listing(never)})" for label, words, must, never in templates)
     return f"""
-        with phrases(label, words) as (values {listed}), templates(label, words) as (values {given}),
+        with phrases(label, words) as (values {listed}), templates(label, words, must, never) as (values {given}),
         docs as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '{WORD}') as words from documents),
@@ -166,7 +194,8 @@ def brute_force_sql(
             from (select doc_id, words, unnest(range((len(words) + {stride - 1}) // {stride})) as k from docs)),
         shares as (
             select doc_id, label, len(list_intersect(t.words, block)) / len(t.words) as share, ceil({threshold} * len(t.words) - 1e-9) as need,
-                len(list_intersect(t.words, block)) as held from blocks, templates t),
+                len(list_intersect(t.words, block)) as held from blocks, templates t
+            where list_has_all(block, t.must) and not list_has_any(block, t.never)),
         own as (select doc_id, list(distinct label) as owns, max(share) as share from shares where held >= need group by doc_id)
         select d.doc_id, len(d.words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
             array_to_string(list_sort(coalesce(bases, [])), ',') as base_labels,
