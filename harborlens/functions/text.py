@@ -26,22 +26,32 @@ HEADLINE_STOPWORDS = (
 )
 
 
-def _accents() -> tuple[str, str]:
-    """Accented letters and their bare ones, for all whose decomposition is a letter and marks."""
-    pairs = []
-    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        bare = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != chr(c):
-            pairs.append((chr(c), bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition (NFKD) without marks makes of a letter: one other sign, or several."""
+    one, several = [], {}
+    for c in map(chr, [*range(0xA0, 0x2000), *range(0x2000, 0x2E80), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare != c and len(bare) == 1:
+            one.append((c, bare))
+        elif bare != c and bare and unicodedata.category(c).startswith("L"):
+            several[c] = bare
+    return "".join(a for a, _ in one), "".join(b for _, b in one), several
 
 
-_ACCENTED, _BARE = _accents()
+_ACCENTED, _BARE, _SEVERAL = _decomposed()
 
 
 def fold_accents(c: Column) -> Column:
-    """Letters without their accents; loose marks (U+0300 to U+036F) go."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _BARE), r"[̀-ͯ]", "")
+    """Letters without accents and in their plain form (full width, superscripts and ligatures too); loose marks (U+0300 to U+036F) go."""
+    plain = F.regexp_replace(F.translate(c, _ACCENTED, _BARE), r"[̀-ͯ]", "")
+    for whole, parts in ((w, p) for w, p in _SEVERAL.items() if p.isascii() and p.isalpha()):
+        plain = F.replace(plain, F.lit(whole), F.lit(parts))
+    return plain
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it: its expression isn't repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
