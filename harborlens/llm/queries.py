@@ -11,6 +11,7 @@ from harborlens.llm.decontaminate import benchmark_spans, contaminated
 from harborlens.llm.exact_dedup import exact_dedup
 from harborlens.llm.license_scan import brute_force_sql, license_scan
 from harborlens.llm.line_dedup import line_dedup
+from harborlens.llm.lm_score import brute_force_sql as lm_sql
 from harborlens.llm.lm_score import lm_scores
 from harborlens.llm.quality import quality
 from harborlens.llm.sharding import shard
@@ -48,7 +49,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    found = lm_scores(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +111,7 @@ ORACLES = {
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    "op6_lm_scores": lm_sql(),
     "op5_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
                sha256(coalesce(text, '')) as text_sha256
