@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -27,22 +28,24 @@ _UPPER, _LOWER, _DIGITS = regex.compile(r"\p{Lu}+"), regex.compile(r"[\p{Ll}\p{L
 _RUN = regex.compile(r"([^\p{L}\p{N}\s])\1+")
 _CAPITALS, _SIGNS = regex.compile(r"(?!Aa)A+a?[^a-z]*"), regex.compile(r".*[^\p{L}\p{N}\s]{2}", regex.S)
 _SAYING, _PLAIN = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"(A|Aa|a)[.,;:!?]?")
+_STOPS, _USUAL = frozenset(".,;:!?"), ".,;:!?()\"'*#%&$|"
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 
 def shape_of(word: str) -> str:
     """A word's shape: runs of capitals A, of other letters a, of digits 0; other signs as they are, runs of one sign as two."""
-    if word.isalpha():  # the usual words need no patterns
-        if word.islower():
-            return "a"
-        if word[0].isupper() and word[1:].islower():
-            return "Aa"
+    core, end = (word[:-1], word[-1]) if word[-1:] in _STOPS else (word, "")
+    if core.isalpha():  # the usual words need no patterns
+        if core.islower():
+            return "a" + end
+        if core[0].isupper() and core[1:].islower():
+            return "Aa" + end
     return _RUN.sub(r"\1\1", _DIGITS.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     """What a lexicon may hold of a word: the bare word in lower case, and its first letters with a hyphen."""
-    bare = word.lower()
+    bare = word.lower().strip(_USUAL)
     if not bare.isalpha():
         bare = _EDGES.sub("", bare)
     return (bare, bare[:STEM] + "-") if len(bare) >= STEM else (bare,) if bare else ()
@@ -53,11 +56,11 @@ CAPITALS, SIGNS, BARE, ODD, INSULT, LISTED = 1, 2, 4, 8, 16, 32
 
 
 class Words:
-    """What the voters and the scorer need to know of a word, worked out once for each that a task meets (up to ``memo`` at a time)."""
+    """What the voters and the scorer need to know of a word, worked out once for each that a worker meets while it remembers it (the last ``memo`` words, and the ``memo`` before them)."""
 
-    def __init__(self, lexicon: Iterable[str], features: int, weights: Sequence[float] | None = None, memo: int = 500_000) -> None:
+    def __init__(self, lexicon: Iterable[str], features: int, weights: Sequence[float] | None = None, memo: int = 300_000) -> None:
         self.lexicon, self.features, self.weights = frozenset(lexicon), features, weights
-        self.known, self.shapes, self.memo = {}, {}, memo
+        self.known, self.older, self.shapes, self.memo = {}, {}, {}, memo
 
     def _shape(self, shape: str) -> tuple[int, int]:
         """Bits and feature slot of a shape."""
@@ -71,6 +74,11 @@ class Words:
 
     def learn(self, raw: bytes) -> tuple:
         """(bits, feature slots) of a word in UTF-8; with weights, the sum of the slots' weights in place of the slots."""
+        if len(self.known) >= self.memo:
+            self.known, self.older = {}, self.known
+        if (found := self.older.get(raw)) is not None:
+            self.known[raw] = found
+            return found
         word = raw.decode()
         terms = terms_of(word)
         bits, slot = self._shape(shape_of(word))
@@ -83,8 +91,6 @@ class Words:
             if not self.lexicon.isdisjoint(terms):
                 bits |= LISTED
                 slots.append(self.slot("#listed"))
-        if len(self.known) >= self.memo:
-            self.known.clear()
         found = self.known[raw] = bits, self.value(slots)
         return found
 
@@ -115,9 +121,9 @@ def _facts(text: str, words: Words) -> tuple[Facts, list[tuple]]:
     """The facts of a text, and (times, slots or weight) of each of its words."""
     said = text.encode().split()  # at ASCII white space only
     n, some = len(said), max(len(said), 1)
-    counted, sums, known, learn = [], Counter(), words.known.get, words.learn
+    counted, sums, learn = [], Counter(), words.learn
     for w, c in Counter(said).items():
-        bits, value = known(w) or learn(w)
+        bits, value = words.known.get(w) or learn(w)
         counted.append((c, value))
         if bits:
             sums[bits] += c
@@ -271,10 +277,10 @@ class QualityModel:
 
         Texts without words (null ones too) hold nothing to judge: their score is 0 and they are not kept.
         """
-        model = self
+        model, name = self, uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = model.words()
+            words = _remembered(name, model)
             for b in _pieces(batches):
                 n, posterior, score = zip(*model.judge((t.as_py() for t in b.column(1)), words), strict=True)
                 kept = [min(p, s) >= threshold for p, s in zip(posterior, score, strict=True)]
@@ -286,6 +292,17 @@ class QualityModel:
         return rows.mapInArrow(run, f"id {kind}, n_words long, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
+#: The words that a Python worker knows under the model it used last.
+_KNOWN: dict[str, Words] = {}
+
+
+def _remembered(name: str, model: QualityModel) -> Words:
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = model.words()
+    return _KNOWN[name]
+
+
 def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
@@ -390,10 +407,10 @@ def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts go. Rows with null or repeated ids and repeated rows are judged each by its
     text; columns keep their names, whatever these are; an empty table stays empty.
     """
-    model, at, schema = fit_quality(docs, id_col, text_col, **fit), docs.columns.index(text_col), docs.schema
+    model, at, schema, name = fit_quality(docs, id_col, text_col, **fit), docs.columns.index(text_col), docs.schema, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = model.words()
+        words = _remembered(name, model)
         for b in _pieces(batches):
             kept = [min(p, s) >= threshold for _, p, s in model.judge((t.as_py() for t in b.column(at)), words)]
             yield b.filter(pa.array(kept, pa.bool_()))
