@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from harborlens.plans import gates, relational, texts, workflow  # noqa: F401  its queries register themselves
+from harborlens.plans import gates, network, relational, reports, texts, workflow  # noqa: F401  its queries register themselves
 from harborlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.functions import derive, gates, money
-from harborlens.functions.filters import country_of, job_function, job_seniority, junk_reason
+from harborlens.functions.filters import COUNTRIES, FUNCTIONS, JUNK_HEADLINES, SENIORITY, country_of, job_function, job_seniority, junk_reason
 from harborlens.plans.registry import query, read
 
 #: A part's name as a company's, and headlines about it.
@@ -91,7 +91,7 @@ def headline_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", gates.expansion_gate(t).alias("expansion"), gates.event_headline(t).alias("event"))
 
 
-_JUNK_SQL = " ".join(f"when regexp_matches(title, {_q(p)}) then '{r}'" for p, r in __import__("harborlens.functions.filters", fromlist=["x"]).JUNK_HEADLINES)
+_JUNK_SQL = " ".join(f"when regexp_matches(title, {_q(p)}) then '{r}'" for p, r in JUNK_HEADLINES)
 JUNKED = """concat(case p_partkey % 12 when 0 then '10 best ' when 1 then 'Should you buy ' when 2 then 'Global ' when 3 then 'What is ' when 4 then 'Here''s why ' when 5 then 'Top 5 ' when 6 then 'Crossword: ' else '' end,
     p_name, case p_size % 6 when 0 then ' startups to watch' when 1 then ' market size report 2026' when 2 then ' stock forecast' when 3 then ' shares soar' when 4 then ' market CAGR analysis' else '?' end)"""
 
@@ -143,14 +143,11 @@ def job_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", h["basis"].alias("basis"), h["region"].alias("region"), h["weight"].alias("weight"), gates.abroad(F.col("place")).alias("abroad"), gates.in_apac(F.col("place")).alias("apac"))
 
 
-_filters = __import__("harborlens.functions.filters", fromlist=["x"])
-
-
 @query(f"""
     with p as (select c_custkey, {TITLE} as title, {PLACE} as place from customer)
-    select c_custkey, case {" ".join(f"when regexp_matches(title, {_q(p)}) then '{v}'" for p, v in _filters.FUNCTIONS)} else 'other' end as function,
-        case {" ".join(f"when regexp_matches(lower(title), {_q(p)}) then '{v}'" for p, v in _filters.SENIORITY)} else 'ic' end as seniority,
-        case {" ".join(f"when regexp_matches(place, {_q('(?i)' + chr(92) + 'b(' + p + ')' + chr(92) + 'b')}) then '{v}'" for v, p in _filters.COUNTRIES)} end as country from p""")
+    select c_custkey, case {" ".join(f"when regexp_matches(title, {_q(p)}) then '{v}'" for p, v in FUNCTIONS)} else 'other' end as function,
+        case {" ".join(f"when regexp_matches(lower(title), {_q(p)}) then '{v}'" for p, v in SENIORITY)} else 'ic' end as seniority,
+        case {" ".join(f"when regexp_matches(place, {_q('(?i)' + chr(92) + 'b(' + p + ')' + chr(92) + 'b')}) then '{v}'" for v, p in COUNTRIES)} end as country from p""")
 def posting_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function, rank and country of each posting."""
     t, place = F.expr(TITLE), F.expr(PLACE)
