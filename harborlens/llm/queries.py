@@ -9,7 +9,7 @@ from harborlens.llm.bpe import bpe_digests
 from harborlens.llm.common import shared_folder, table
 from harborlens.llm.decontaminate import benchmark_spans, contaminated
 from harborlens.llm.exact_dedup import exact_dedup
-from harborlens.llm.license_scan import brute_force_sql, license_scan
+from harborlens.llm.license_scan import WORD, brute_force_sql, license_scan
 from harborlens.llm.line_dedup import line_dedup
 from harborlens.llm.lm_score import brute_force_sql as lm_sql
 from harborlens.llm.lm_score import lm_scores
@@ -82,6 +82,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Trimmed, and A-Z alone in lower case.
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Five hexadecimal digits are four of base 32.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5), lambda k: (instr('0123456789abcdef', substr(h, 1 + 5 * (i // 4) + k, 1)) - 1) * 16 ** (4 - k))) as bigint) // cast(32 ** (3 - i % 4) as bigint) % 32, 1)), '')"
 _KEY_SQL = (
     "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,6 +115,21 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
     "op6_lm_scores": lm_sql(),
+    "op8_warc": f"""
+        with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+        select page_id, strlen(body)::bigint as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+            case when page_id <> first then first end as refers_to, true as ok from p""",
+    "op9_decontamination": f"""
+        with d as (select doc_id, regexp_extract_all({_LOWER.format('text')}, '{WORD}') as ws from documents),
+        b as (select item_id::varchar as item, regexp_extract_all({_LOWER.format('text')}, '{WORD}') as ws from benchmark where item_id is not null),
+        s as (select item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as p from b where len(ws) > 0),
+        windows as (select distinct item, least(len(ws), 13) as n, array_to_string(ws[p : p + 12], ' ') as w from s),
+        starts as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from d),
+        met as (select doc_id, p, n, item from (select doc_id, p, n, array_to_string(ws[p : p + n - 1], ' ') as w from starts, (select distinct n from windows) l where p + n - 1 <= len(ws)) x join windows using (n, w)),
+        hits as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(p, p + n)) as spot from met) group by 1),
+        items as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from met group by 1)
+        select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join hits using (doc_id) left join items using (doc_id)""",
     "op5_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
                sha256(coalesce(text, '')) as text_sha256

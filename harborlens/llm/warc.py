@@ -46,6 +46,12 @@ def member(data: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + _EMPTY_MEMBER
 
 
+_FIELDS = {
+    "record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+    "refers_to": pa.string(), "ok": pa.bool_(), "payload": pa.binary(), "error": pa.string(), "archive": pa.string(),
+}
+
+
 class BadRecord(ValueError):
     """An archive breaks off, or isn't framed as WARC."""
 
@@ -89,13 +95,13 @@ def _until_blank(pieces: Iterator[bytes], buffer: bytearray, most: int = 1 << 20
     return head
 
 
-def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
-    """Reads an archive in order: a dict per record with its lower-case headers, payload_bytes, payload_digest, payload and ok.
+def read_records(chunks: Iterable[bytes], with_payload: bool = True) -> Iterator[dict]:
+    """Reads an archive in order: a dict per record with its lower-case headers, payload_bytes, payload_digest, payload (if wanted) and ok.
 
     Members are inflated piece by piece, a record's block is framed by its Content-Length,
     and the digests of block and payload are computed as the block passes. ``ok`` is
     false where a digest in the headers isn't the one computed, or bytes follow the
-    record's end. Framing that can't be followed raises BadRecord.
+    record's end. Framing that can't be followed raises BadRecord. Without payloads, what is held at once doesn't grow with a record.
     """
     for pieces in members(chunks):
         buffer = bytearray()
@@ -111,7 +117,7 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
             length = int(headers["content-length"])
         except (KeyError, ValueError) as e:
             raise BadRecord("no content length") from e
-        block_digest, payload_digest, payload, seen, http = hashlib.sha1(), hashlib.sha1(), io.BytesIO(), 0, bytearray()
+        block_digest, payload_digest, payload, size, seen, http = hashlib.sha1(), hashlib.sha1(), io.BytesIO(), 0, 0, bytearray()
         is_http = headers.get("content-type", "").startswith("application/http")
         in_payload = not is_http
         while seen < length:
@@ -132,7 +138,9 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
                 else:
                     continue
             payload_digest.update(part)
-            payload.write(part)
+            size += len(part)
+            if with_payload:
+                payload.write(part)
         for piece in pieces:
             buffer += piece
             if len(buffer) > 64:
@@ -140,13 +148,13 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
         ok = bytes(buffer) == b"\r\n\r\n"
         told = {k: headers[f"warc-{k}-digest"].partition(":")[2] for k in ("block", "payload") if f"warc-{k}-digest" in headers}
         ok &= told.get("block") in (None, base64.b32encode(block_digest.digest()).decode())
-        size, digest = payload.tell(), base64.b32encode(payload_digest.digest()).decode()
+        digest = base64.b32encode(payload_digest.digest()).decode()
         if headers.get("warc-type") == "revisit":  # the payload is elsewhere: its length and digest stand in the headers
             inner = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
             size, digest = int(inner.get("content-length", "0")), told.get("payload", digest)
         else:
             ok &= told.get("payload") in (None, digest)
-        yield {"headers": headers, "payload_bytes": size, "payload_digest": digest, "payload": payload.getvalue(), "ok": ok}
+        yield {"headers": headers, "payload_bytes": size, "payload_digest": digest, "payload": payload.getvalue() if with_payload else None, "ok": ok}
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_mb: int = 16, level: int = 6) -> None:
@@ -175,7 +183,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     files = max(1, -(-payload // (archive_mb << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Equal hashes meet; that id and digest are equal, too, is written as ranges, as further keys would deal the pages anew.
     same = F.expr("p.key = r.key and p.sha between r.rsha and r.rsha and (p.id between r.rid and r.rid or (p.id is null and r.rid is null))")
-    met = rows.withColumn("key", key).repartition(files, "key").alias("p").join(again.hint("shuffle_hash").alias("r"), same, "left")
+    met = rows.withColumn("key", key).repartition(files, "key").alias("p").join(again.alias("r"), same, "left")
     records = met.select("p.id", "url", "html", "first", F.col("rsha").isNotNull().alias("revisit"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +198,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """(record_id, record_type, url, payload_bytes, payload_digest, refers_to, ok, payload) of each record of the archives below ``path``.
+    """(record_id, record_type, url, payload_bytes, payload_digest, refers_to, ok, payload, error, archive) of each record of the archives below ``path``.
 
-    ``with_payload`` says whether payloads come out or, though read and verified, are null.
+    ``with_payload`` says whether payloads come out or, though read and verified, are null. Where an archive breaks off
+    or can't be followed, its records so far stand, and one more row without an id says so in ``error``; other archives are read all the same.
 
     Each archive is read in order, as a stream of gzip members (see ``read_records``).
     Archives are spread over tasks; one is held compressed by its task, as Spark's binary
@@ -201,25 +210,30 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     ship_package(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "ok", "payload"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
         for b in batches:
-            for content in b.column(0):
+            for content, archive in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 view, rows, size = memoryview(content.as_buffer()), [], 0
-                for r in read_records(bytes(view[i : i + CHUNK]) for i in range(0, len(view), CHUNK)):
+                records = read_records((bytes(view[i : i + CHUNK]) for i in range(0, len(view), CHUNK)), with_payload)
+                while True:
+                    try:
+                        r = next(records, None)
+                    except BadRecord as e:
+                        rows.append((None, None, None, None, None, None, False, None, str(e), archive))
+                        break
+                    if r is None:
+                        break
                     h = r["headers"]
                     rows.append(
-                        (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h.get("warc-refers-to"), r["ok"], r["payload"] if with_payload else None)
+                        (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h.get("warc-refers-to"), r["ok"], r["payload"], None, archive)
                     )
-                    size += len(r["payload"]) * with_payload
+                    size += len(r["payload"] or b"")
                     if size > 8 << 20 or len(rows) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
+                        yield made(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
+                    yield made(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    schema = "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, ok boolean, payload binary"
-    return files.select("content").mapInArrow(read, schema)
-
-
-_KINDS = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+    schema = "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, ok boolean, payload binary, error string, archive string"
+    return files.select("content", "path").mapInArrow(read, schema)
