@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlens.operators.shared import numbered
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order that must end in a unique column."""
@@ -44,15 +46,10 @@ def soft_drop(df: DataFrame, reasons: Sequence[tuple[str, Column]], kept: str =
 def interleaved_batches(df: DataFrame, group: str, order: Sequence[str], size: int) -> DataFrame:
     """Adds batch and place: one row of each group a round, in rounds of the groups' order, cut into batches of ``size``.
 
-    Rows are numbered by round first and then within it, so that no window spans all rows: round
-    sizes are counted and summed up, and a row's number is its round's start and its rank in it.
+    Rows are numbered in the order of rounds and groups by ranges (see ``numbered``), so that no task sees all groups of a round.
     """
     ranked = df.withColumn("_round", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    starts = ranked.groupBy("_round").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_round", (F.sum("_n").over(Window.orderBy("_round")) - F.col("_n")).alias("_start"))
-    placed = ranked.withColumn("_in", F.row_number().over(Window.partitionBy("_round").orderBy(group))).join(starts, "_round")
-    place = F.col("_start") + F.col("_in") - 1
-    return placed.withColumn("place", place).withColumn("batch", F.floor(place / size).cast("long")).drop("_round", "_in", "_start")
+    return numbered(ranked, ["_round", group], "place").withColumn("batch", F.floor(F.col("place") / size).cast("long")).drop("_round")
 
 
 def places(df: DataFrame, ranges: Sequence[Column], order: Sequence[Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.operators.graph import both_ways, degree_coverage, degree_discount, edge_sentence
+from harborlens.operators.shared import in_parts
 
 PATH_COLUMNS = ("company_id", "kind", "via_person", "via_org", "target_id", "score", "degree", "coverage", "told")
 
@@ -24,8 +25,9 @@ def _linked(df: DataFrame, links: DataFrame, kind: str, id_col: str, name: str)
 
 def _pairs(ends: DataFrame, hub: str) -> DataFrame:
     """Each two rows of a hub with different companies, as (hub, company_id, other_id, and what both rows carry with _there)."""
-    there = ends.select(hub, *(F.col(c).alias("other_id" if c == "company_id" else f"{c}_there") for c in ends.columns if c != hub))
-    return ends.join(there, hub).where(F.col("company_id") != F.col("other_id"))
+    left, right = in_parts(ends, hub, "company_id")
+    there = right.select(hub, "_part", *(F.col(c).alias("other_id" if c == "company_id" else f"{c}_there") for c in ends.columns if c != hub))
+    return left.join(there, [hub, "_part"]).where(F.col("company_id") != F.col("other_id")).drop("_part")
 
 
 def person_paths(roles: DataFrame, links: DataFrame) -> DataFrame:

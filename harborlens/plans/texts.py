@@ -150,7 +150,7 @@ def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def story_clusters_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by the one-pass rule, over pairs alike by trigrams or by key terms."""
     h = _headlines(spark, sf_dir)
-    return greedy_clusters(h, story_pairs(h, "doc_id", "title", "block"), "doc_id", "block")
+    return greedy_clusters(h, story_pairs(h, "doc_id", "title", "block"), "doc_id")
 
 
 @query("""
@@ -176,16 +176,21 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, item_id from e join g using (term)""")
 def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that name a dictionary entry: word windows joined on equality, never documents by entries."""
-    tri = lambda c: F.transform(F.filter(F.sequence(F.lit(1), F.size(c) - 2), lambda i: i > 0), lambda i: F.array_join(F.slice(c, i, F.lit(3)), " "))
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 3")
-    b = b.select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("term")).distinct()
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split(F.lower("text"), " "), 1, 3).alias("w")).where("size(w) >= 3")
     d = read(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+").alias("w")).where("size(w) >= 3")
-    return d.select("doc_id", F.explode(F.array_distinct(tri(F.col("w")))).alias("term")).join(b, "term").select("doc_id", "item_id").distinct()
+    entries = b.select("item_id", F.explode(windows(F.col("w"), 3)).alias("term")).distinct()
+    return d.select("doc_id", F.explode(windows(F.col("w"), 3)).alias("term")).join(entries, "term").select("doc_id", "item_id").distinct()
 
 
 def windows(words: Column, n: int) -> Column:
-    """The runs of ``n`` words of an array, as texts; none where it is shorter."""
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i <= F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    """The runs of ``n`` words of an array, none where it is shorter: each as 128 bits of hash, so that no text is built for those that nothing equals."""
+
+    def runs(ws: Column) -> Column:
+        one = lambda i: [F.get(ws, i + j) for j in range(n)]
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0))), lambda i: i <= F.size(ws) - n)
+        return F.transform(at, lambda i: F.struct(F.xxhash64(*one(i)).alias("h1"), F.xxhash64(F.lit(n), *one(i)).alias("h2")))
+
+    return text.bound(words, runs)
 
 
 def passage_mentions(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -195,8 +200,8 @@ def passage_mentions(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     held = lambda df: df.withColumn("w", F.filter("w", lambda x: x != ""))
     w = F.col("w")
-    b = held(items).select("item_id", F.explode(F.when(F.size(w) < 3, F.when(F.size(w) > 0, F.array(F.array_join(w, " ")))).otherwise(windows(w, 3))).alias("term")).distinct()
-    d = held(docs).select("doc_id", F.explode(F.array_distinct(F.concat(*(windows(w, n) for n in (1, 2, 3))))).alias("term"))
+    b = held(items).select("item_id", F.explode(F.when(F.size(w) == 1, windows(w, 1)).when(F.size(w) == 2, windows(w, 2)).otherwise(windows(w, 3))).alias("term")).distinct()
+    d = held(docs).select("doc_id", F.explode(F.concat(*(windows(w, n) for n in (1, 2, 3)))).alias("term"))
     return d.join(b, "term").select("doc_id", "item_id").distinct()
 
 

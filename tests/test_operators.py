@@ -67,7 +67,7 @@ def test_clusters(spark):
     pairs = spark.createDataFrame([(1, 3), (3, 2), (5, 6)], "left_id long, right_id long")
     assert {r.id: r.cluster_id for r in cluster.label_components(items, pairs, "id").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
     # In one pass 2 is looked at before 3 has joined 1, and so opens its own cluster.
-    assert {r.id: r.cluster_id for r in cluster.greedy_clusters(items, pairs, "id", "company").collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
+    assert {r.id: r.cluster_id for r in cluster.greedy_clusters(items, pairs, "id").collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
 def test_placement_of_one_company(spark):
