@@ -167,7 +167,10 @@ def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: st
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): ids encoded and decoded again, as digests."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: the whole text encoded and decoded again, as digests.
+
+    Null texts count as empty ones. Null ids and repeated rows have a row each; other columns are ignored; an empty table gives no rows.
+    """
     import hashlib
 
     def make(bpe: Bpe, text: str) -> tuple:

@@ -138,7 +138,7 @@ def shard(
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     bound = shards or max(1, -(-total // capacity))
     piece = max(1, total // (bound * pieces))
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), bound * pieces // 8))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), bound * pieces))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
