@@ -59,7 +59,7 @@ def line_dedup(
         parts.join(held, ["_h1", "_h2", "_part"]).where("_doc <> _first")
         .groupBy("_doc", "_own").agg(F.collect_set("_pos").alias("_drop"))
     )
-    met = rows.join(dropped, ["_doc", "_own"], "left")
+    met = rows.join(dropped.hint("shuffle_hash"), ["_doc", "_own"], "left")  # the slim side is held, so that texts needn't be sorted
     split = _lines(F.col("_text"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop")), lambda i: F.get(split, i))
     return met.select(
