@@ -151,14 +151,14 @@ VOTERS = {
         "odd_words": lambda f: _bad(f.plain < 0.6),
         "repeats": lambda f: _bad(f.repeats > 0.2),
         "monotony": lambda f: _bad(f.distinct < 0.15 and f.n > 50),
-        "prose": lambda f: 1 if f.plain > 0.9 and f.repeats < 0.05 and f.distinct > 0.2 else 0,
+        "prose": lambda f: 1 if f.plain > 0.7 and f.repeats < 0.05 and f.distinct > 0.2 else 0,
     },
     "tone": {
-        "insults": lambda f: _bad(f.insults >= 2),
+        "insults": lambda f: _bad(f.insults >= 2 and f.insults > 0.001 * f.n),
         "insult_share": lambda f: _bad(f.insults > 0.004 * f.n),
-        "listed_words": lambda f: _bad(f.listed >= 2),
+        "listed_words": lambda f: _bad(f.listed >= 2 and f.listed > 0.001 * f.n),
         "listed_share": lambda f: _bad(f.listed > 0.004 * f.n),
-        "nothing_listed": lambda f: 1 if f.listed == f.insults == 0 else 0,
+        "hardly_any": lambda f: 1 if f.listed + f.insults <= 0.001 * f.n else 0,
     },
 }
 
@@ -200,12 +200,16 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, names: list[str], round
     return model
 
 
-def fit_scorer(row: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.ndarray, features: int, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_scorer(row: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.ndarray, features: int, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3, support: int = 10) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model of soft targets, by Adam steps over all rows on features scaled to their usual share.
 
+    Features of fewer than ``support`` rows have no weight.
+
     Entry k says that ``share[k]`` of the words of row ``row[k]`` fall into ``slot[k]``.
     """
     n = len(target)
+    often = np.bincount(slot, minlength=features) >= min(support, n // 20)
+    row, slot, share = row[often[slot]], slot[often[slot]], share[often[slot]]
     scale = (np.bincount(slot, share, features) + 1e-9) / (np.bincount(slot, minlength=features) + 1e-9)
     x = share / scale[slot]
     w, bias = np.zeros(features), 0.0
