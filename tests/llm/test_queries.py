@@ -28,6 +28,9 @@ def tables(spark, tmp_path_factory):
     pages = [(k, f"http://x/{k}", t) for k, t in enumerate(["<p>a</p>", "<p>é</p>", "<p>a</p>", None, "", "x" * 100_000])]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
     spark.createDataFrame([(k, 1, int(k == 49)) for k in range(0, 50, 2)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    roles, said = ["user", "assistant", "system", "", None], ["Yes.", "No", "", " ", "Why?! \n", None]
+    turns = [(c, t, roles[rng.randrange(2) if rng.randrange(4) else rng.randrange(5)], said[rng.randrange(6)]) for c in [*range(60), None] for t in rng.sample([*range(8), None], 6)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(folder / "conversations.parquet"))
     return str(folder), docs
 
 
@@ -35,7 +38,7 @@ def tables(spark, tmp_path_factory):
 def test_equals_its_sql(spark, tables, name):
     folder, _ = tables
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         c.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     got = QUERIES[name](spark, folder)
     found = c.sql(ORACLES[name])
@@ -79,6 +82,13 @@ def test_bpe_query(spark, tables):
         assert got[i] == (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
 
 
+def test_toxicity_query(spark, tables):
+    folder, docs = tables
+    got = {r.doc_id: r for r in QUERIES["op13_toxicity"](spark, folder).collect()}
+    assert set(got) == {i for i, *_ in docs}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for i, r in got.items())
+
+
 def test_quality_query(spark, tables):
     folder, docs = tables
     got = QUERIES["op4_quality"](spark, folder)
