@@ -29,10 +29,34 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
 
 
-def in_parts(rows: DataFrame, hub: str, by: str, most: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join of ``rows`` with themselves on ``hub``, ready to be joined on it and ``_part``: the left side of a hub of many rows
-    is dealt into parts of about ``most`` by a hash of ``by``, and its right side is repeated for each."""
-    parts = rows.groupBy(hub).agg((F.floor(F.count(F.lit(1)) / most) + 1).cast("int").alias("_parts"))
-    sized = rows.join(parts, hub)
-    left = sized.withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
-    return left, sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], most: int = 1_000, lists: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys``, ready to be joined on ``keys`` and ``_part``: the left rows of a key of more than ``most`` are dealt
+    into parts of about so many by a hash of ``by``, and its right rows are repeated for each part.
+
+    The hot keys alone are broadcast, the ``lists`` hottest of them if there are more; a key beyond these has less than a ``lists``-th of the rows.
+    """
+    n = F.count(F.lit(1))
+    hot = left.groupBy(*keys).agg((F.floor(n / most) + 1).cast("int").alias("_parts")).where("_parts > 1").orderBy(F.desc("_parts"), *keys).limit(lists)
+    part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return tuple(side.join(F.broadcast(hot), keys, "left").withColumn("_part", c).drop("_parts") for side, c in ((left, part), (right, each)))
+
+
+def in_parts(rows: DataFrame, hub: str, by: str, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of ``rows`` with themselves on ``hub`` and ``_part`` (see ``dealt``)."""
+    return dealt(rows, rows, [hub], [by], most)
+
+
+def with_before(df: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:
+    """Adds ``_before``: ``carry`` of the row before, in an order, among the rows of the same ``keys``; null for the first.
+
+    Rows are sorted in ranges, so that those of one key may lie in many; the last row of each range is handed on to the next.
+    """
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged.withColumn("_range", F.shiftright("_at", 33)))
+    last = ranged.groupBy("_range").agg(F.max_by(F.struct(F.struct(*keys).alias("k"), F.struct(*carry).alias("c")), "_at").alias("_last"))
+    last = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_last"))  # a row for each range
+    own = F.lag(F.struct(*carry)).over(Window.partitionBy("_range", *keys).orderBy("_at"))
+    told = ranged.withColumn("_own", own).join(F.broadcast(last), "_range")
+    handed = F.when(F.col("_last.k") == F.struct(*keys), F.col("_last.c"))
+    return told.withColumn("_before", F.coalesce("_own", handed)).drop("_own", "_last", "_range", "_at")

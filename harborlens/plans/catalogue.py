@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from harborlens.plans import forms, gates, network, relational, reports, scans, texts, workflow  # noqa: F401  its queries register themselves
+from harborlens.plans import forms, gates, network, relational, reports, scans, stories, texts, workflow  # noqa: F401  its queries register themselves
 from harborlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

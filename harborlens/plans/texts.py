@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.functions import dates, filters, money, text
-from harborlens.operators.cluster import elect_heads, greedy_clusters, label_components, story_pairs
+from harborlens.operators.cluster import elect_heads, label_components
 from harborlens.operators.latest import soft_drop
 from harborlens.operators.resolve import edit_candidates, jaccard_candidates
 from harborlens.plans import ground_truth as truth
@@ -146,13 +146,6 @@ def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_components(read(spark, sf_dir, "documents").select("doc_id"), trigram_pairs(spark, sf_dir), "doc_id")
 
 
-@query()
-def story_clusters_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by the one-pass rule, over pairs alike by trigrams or by key terms."""
-    h = _headlines(spark, sf_dir)
-    return greedy_clusters(h, story_pairs(h, "doc_id", "title", "block"), "doc_id")
-
-
 @query("""
     select doc_id, row_number() over (partition by text order by case when source = 'src0' then 100 when source = 'src5' then 10 else 50 end desc, n_chars, doc_id) = 1 as is_head from documents""")
 def cluster_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
