@@ -76,6 +76,15 @@ def date_range(text: Column) -> Column:
     )
 
 
+def edition_dates(lines: Column, year: Column, head: int = 40) -> Column:
+    """struct(starts_on, ends_on) of the first of a directory's ``head`` first lines that holds a full date, else of the first that
+    does so with ``year`` behind it (from the page's address; null: none), else null. Only the banner at the top tells the edition."""
+    month = F.filter(F.slice(lines, 1, head), lambda x: x.rlike(r"\d") & x.rlike(rf"(?i)\b{_MONTH}"))  # no form does without these
+    first = lambda dates: F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    hinted = F.when(year.isNotNull(), first(F.transform(month, lambda x: date_range(F.concat(x, F.lit(" "), year.cast("string"))))))
+    return F.coalesce(first(F.transform(month, date_range)), hinted)
+
+
 def _month(name: Column) -> Column:
     """1 to 12 of a month's first three letters."""
     return ((F.call_function("locate", F.lower(F.substring(name, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")

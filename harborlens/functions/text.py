@@ -192,6 +192,31 @@ def clean_snippet(c: Column) -> Column:
     return c
 
 
+def balanced_json(raw: Column) -> Column:
+    """The JSON in a reply: what stands in its first code fence, else what its first bracket opens, up to where that is closed.
+
+    Only brackets of that kind count, strings are passed over, and a backslash guards the sign after it. The text is cut into the signs that matter and the
+    stretches between them, and one fold over these carries depth, string and length; so a text of any length is read once. Null where no
+    bracket opens, or where it is never closed.
+    """
+
+    def closed(s: Column, opening: str, closing: str) -> Column:
+        pieces = F.regexp_extract_all(s, F.lit(r'(?s)(\\.|\\$|["{}\[\]]|[^"\\{}\[\]]+)'), F.lit(1))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("said"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+        def step(a: Column, t: Column) -> Column:
+            said = F.when(t == '"', ~a["said"]).otherwise(a["said"])
+            depth = F.when(a["said"], a["depth"]).when(t == opening, a["depth"] + 1).when(t == closing, a["depth"] - 1).otherwise(a["depth"])
+            done = ~a["said"] & (t == closing) & (depth == 0)
+            return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), said.alias("said"), (a["n"] + F.length(t)).alias("n"), done.alias("done")))
+
+        return bound(F.aggregate(pieces, start, step), lambda a: F.when(a["done"], F.substr(s, F.lit(1), a["n"])))
+
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
+    opened = bound(F.substr(raw, F.regexp_instr(raw, F.lit(r"[{\[]"))), lambda s: F.when(s.startswith("{"), closed(s, "{", "}")).when(s.startswith("["), closed(s, "[", "]")))
+    return F.when(raw.rlike(fence), F.regexp_replace(F.regexp_extract(raw, fence, 1), r"^\s+|\s+$", "")).when(raw.rlike(r"[{\[]"), opened)
+
+
 def token_estimate(c: Column) -> Column:
     return F.ceil(F.length(c) / 4)
 

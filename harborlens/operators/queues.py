@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborlens.functions.gates import discovery_headline
+from harborlens.functions.text import normalise_company
+
 
 def arrived_since(published: Column, fetched: Column, previous: Column, floor: Column) -> Column:
     """Whether an item came after the previous run, which counts from ``floor`` at the earliest."""
@@ -20,6 +23,18 @@ def unseen(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(held, same, "left_anti")
 
 
+def discovery_candidates(headlines: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """(name, round, amount, valuation, item_id, title, source, url) of companies that headlines (item_id, title, snippet, source, url, and what ``order`` names) tell of and nobody knows.
+
+    ``known`` holds names in the form of ``normalise_company``, those of excluded companies and aliases among them. Of several headlines on one name, whatever its case, the first by ``order`` counts.
+    """
+    found = headlines.withColumn("_d", discovery_headline(F.col("title"), F.col("snippet"))).where("_d is not null")
+    found = found.withColumns({"_key": normalise_company(F.col("_d.name")), "_name": F.lower("_d.name")})
+    new = found.join(known.select(F.col("name").alias("_known")).distinct(), F.col("_key") == F.col("_known"), "left_anti")
+    first = F.min_by(F.struct("_d.name", "_d.round", "_d.amount", "_d.valuation", "item_id", "title", "source", "url"), F.struct(*order, "item_id"))
+    return new.groupBy("_name").agg(first.alias("_f")).select("_f.*")
+
+
 def rescore_queue(items: DataFrame, scores: DataFrame, version: str) -> DataFrame:
     """Items (item_id, cluster_id, status) that head their cluster, are kept, and have no score of the version (scores: item_id, rubric_version)."""
     done = scores.where(F.col("rubric_version") == version).select("item_id").distinct()

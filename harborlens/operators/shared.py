@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder in spark.checkpoint.dir; to one of this machine's own only where Spark runs in one process."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine's own only where Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, which all executors share."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds ``name``: each row's number from 0 in an order. Rows are sorted in ranges, a task each; only the ranges' sizes are summed up in one place."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())

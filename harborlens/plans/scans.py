@@ -125,12 +125,6 @@ def found_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.site_among_hits(rows).select("company", "host", F.element_at(derive.board_slugs(F.col("company"), F.col("host")), 2).alias("slug"))
 
 
-@query("select cast(d as date) as day, year(d) || '/QTR' || quarter(d) || '/form.' || strftime(d, '%Y%m%d') || '.idx' as path from range(timestamp '2025-12-20', timestamp '2026-04-05', interval 1 day) t(d)")
-def filing_index_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of the daily indexes before a day."""
-    return scans.index_days(spark, "2026-04-05", 106)
-
-
 @query("""
     select page_id, page_id % 5 = 0 and page_id % 2 = 1 as challenge, length('https://news.google.com/rss/' || repeat('x', page_id % 200)) > 120 and page_id % 2 = 0 as wrapped from pages""")
 def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,50 +9,10 @@ from harborlens.functions import dates, filters, money, text
 from harborlens.operators.cluster import elect_heads, label_components
 from harborlens.operators.latest import soft_drop
 from harborlens.operators.resolve import edit_candidates, jaccard_candidates
-from harborlens.plans import ground_truth as truth
 from harborlens.plans.registry import query, read
 from harborlens.sources import feeds
 
 
-@query(truth.values_sql(truth.REGISTRY, "company registered collisions outcome", "varchar varchar integer varchar"))
-def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in truth.REGISTRY], "company string, registered string, collisions int")
-    return rows.withColumn("outcome", filters.registry_match(F.col("company"), F.col("registered"), F.col("collisions")))
-
-
-@query(truth.values_sql(truth.EVENT_DATES, "line starts_on ends_on", "varchar date date"))
-def event_date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:1] for r in truth.EVENT_DATES], "line string").withColumn("d", dates.date_range(F.col("line")))
-    return rows.select("line", "d.starts_on", "d.ends_on")
-
-
-@query(truth.values_sql(truth.FUNDRAISES, "headline round amount valuation", "varchar varchar double double"))
-def fundraise_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:1] for r in truth.FUNDRAISES], "headline string").withColumn("f", money.parse_fundraise(F.col("headline")))
-    return rows.select("headline", "f.round", "f.amount", "f.valuation")
-
-
-@query(truth.values_sql(tuple((i, r[5]) for i, r in enumerate(truth.PROFILES)), "id agreed", "bigint varchar"))
-def profile_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(truth.PROFILES)], "id long, website string, headline string, url string, country string, rounds array<double>")
-    return rows.select("id", money.profile_agrees(*(F.col(c) for c in ("website", "headline", "url", "country", "rounds"))).alias("agreed"))
-
-
-@query(truth.values_sql(truth.ROUNDS, "label stage", "varchar varchar"))
-def round_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in truth.ROUNDS], "label string").withColumn("stage", money.round_stage(F.col("label")))
-
-
-@query(truth.values_sql(truth.NAMES, "raw name", "varchar varchar"))
-def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in truth.NAMES], "raw string").withColumn("name", text.normalise_company(F.col("raw")))
-
-
-@query(truth.values_sql(truth.URLS, "url canonical", "varchar varchar"))
-def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in truth.URLS], "url string").withColumn("canonical", text.canonical_url(F.col("url")))
-
-
 @query("""
     with p as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') as host,
         regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path,

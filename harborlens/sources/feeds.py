@@ -69,30 +69,22 @@ def directory_lines(pages: DataFrame, html: str, key: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(key, "position", "line")
 
 
-def parse_filing_index(lines: DataFrame, line: str) -> DataFrame:
+def parse_filing_index(lines: DataFrame, line: str, *keep: str) -> DataFrame:
     """A daily index of filings: forms D and D/A with company, cik, date and accession number."""
     form = r"^(D(?:/A)?)\s{2,}(.+?)\s{2,}(\d+)\s+(\d{8})\s+(\S+)"
     part = lambda i: F.regexp_extract(line, form, i)
     return lines.where(F.col(line).rlike(form)).select(
-        part(1).alias("form"), F.trim(part(2)).alias("company"), part(3).alias("cik"), F.to_date(part(4), "yyyyMMdd").alias("filed"),
+        *keep, part(1).alias("form"), F.trim(part(2)).alias("company"), part(3).alias("cik"), F.to_date(part(4), "yyyyMMdd").alias("filed"),
         F.regexp_extract(part(5), r"(\d{10}-\d{2}-\d{6})", 1).alias("accession"),
     )
 
 
-def parse_boards(boards: DataFrame, vendor: str, body: str, *keep: str) -> DataFrame:
-    """Job boards of three JSON shapes as one: external_id, title, location, url, department. A shape that doesn't parse gives no rows."""
-    shapes = {
-        "greenhouse": ("struct<jobs: array<struct<id: string, title: string, location: struct<name: string>, absolute_url: string, departments: array<struct<name: string>>>>>", lambda c: c["jobs"],
-                       lambda j: (j["id"], j["title"], j["location"]["name"], j["absolute_url"], F.get(j["departments"], F.lit(0))["name"])),
-        "lever": ("array<struct<id: string, text: string, hostedUrl: string, applyUrl: string, categories: struct<location: string, team: string, department: string>>>", lambda c: c,
-                  lambda j: (j["id"], j["text"], j["categories"]["location"], F.coalesce(j["hostedUrl"], j["applyUrl"]), F.coalesce(j["categories"]["team"], j["categories"]["department"]))),
-        "ashby": ("struct<jobs: array<struct<id: string, title: string, location: string, jobUrl: string, applyUrl: string, department: string, team: string>>>", lambda c: c["jobs"],
-                  lambda j: (j["id"], j["title"], j["location"], F.coalesce(j["jobUrl"], j["applyUrl"]), F.coalesce(j["department"], j["team"]))),
-    }
-    out = None
-    names = ("external_id", "title", "location", "url", "department")
-    for name, (schema, rows, fields) in shapes.items():
-        jobs = boards.where(F.col(vendor) == name).select(*keep, F.lit(name).alias("vendor"), F.explode(rows(F.from_json(body, schema))).alias("j"))
-        part = jobs.select(*keep, "vendor", *(F.trim(x).alias(n) for n, x in zip(names, fields(F.col("j")), strict=True)))
-        out = part if out is None else out.unionByName(part)
-    return out.where("title <> '' and url <> ''")
+def walk_filing_index(files: DataFrame, day: str, line: str, asof: Column, days: int) -> DataFrame:
+    """(day, form, company, cik, filed, accession): forms D and D/A in the daily indexes (day, line) of the last ``days`` days before ``asof``.
+
+    A day without an index was no working day. A filing that several indexes list is told once, by the earliest.
+    """
+    near = files.where((F.col(day) >= F.date_sub(asof, days)) & (F.col(day) < asof))
+    found = parse_filing_index(near.withColumn("_day", F.col(day)), line, "_day")
+    first = F.min_by(F.struct(*(c for c in found.columns if c != "accession")), F.struct("_day", "form"))
+    return found.groupBy("accession").agg(first.alias("_f")).select(F.col("_f._day").alias("day"), "_f.form", "_f.company", "_f.cik", "_f.filed", "accession")

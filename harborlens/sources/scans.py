@@ -165,12 +165,6 @@ def filing_details(filings: DataFrame, xml: str, *keep: str) -> DataFrame:
     )
 
 
-def index_days(spark: SparkSession, asof: str, days: int) -> DataFrame:
-    """(day, path): the daily indexes of the last ``days`` days, by year and quarter; a day without a file was no working day."""
-    rows = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.lit(asof).cast("date"), days), F.date_sub(F.lit(asof).cast("date"), 1))).alias("day"))
-    return rows.select("day", F.concat(F.year("day").cast("string"), F.lit("/QTR"), F.quarter("day").cast("string"), F.lit("/form."), F.date_format("day", "yyyyMMdd"), F.lit(".idx")).alias("path"))
-
-
 def flat_fundings(results: DataFrame, company: str, fundings: str) -> DataFrame:
     """(company, round, investor) of nested results: a row for each investor of each round, rounds without any kept with null."""
     rounds = results.select(F.col(company).alias("company"), F.explode_outer(fundings).alias("f"))

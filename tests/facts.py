@@ -1,27 +1,14 @@
-"""Inputs with known outcomes, as rows: facts about names, dates and headlines that the parsers must get right."""
+"""Inputs with known outcomes: facts about names, dates and headlines that the parsers must get right."""
 
 REGISTRY = (  # company, registered name, collisions, outcome
-    ("Anthropic", "ANTHROPIC SINGAPORE PTE. LTD.", 1, "confirmed"),
-    ("Anthropic", "ANTHROPIC PBC ASIA PACIFIC PTE. LTD.", 1, "confirmed"),
-    ("Databricks", "DATABRICKS PTE. LTD.", 1, "confirmed"),
-    ("Anysphere", "ANYSPHERE SINGAPORE PTE. LTD.", 1, "confirmed"),
-    ("SambaNova Systems", "SAMBANOVA SYSTEMS SINGAPORE PTE. LTD.", 1, "confirmed"),
-    ("Anduril Industries", "ANDURIL PTE. LTD.", 1, "confirmed"),
-    ("Anduril Industries", "ANDURIL SYSTEMS PTE. LTD.", 1, "confirmed"),
-    ("Perplexity", "PERPLEXITY PTE. LTD.", 1, "confirmed"),
-    ("Luma AI", "LUMA AI (SG) PTE. LTD.", 1, "confirmed"),
-    ("Cognition AI", "COGNITION AI PTE. LTD.", 1, "confirmed"),
-    ("Figma", "FIGMA SINGAPORE PTE. LIMITED", 1, "confirmed"),
-    ("Twelve Labs", "TWELVE DEGREES PTE. LTD.", 12, None),
-    ("Twelve Labs", "TWELVE DATA PTE. LTD.", 12, None),
-    ("Twelve Labs", "TWELVE STABLES PTE. LTD.", 12, None),
-    ("Decagon", "DECAGON CONSULTING PTE. LTD.", 3, None),
-    ("Decagon", "DECAGON PROJECTS PTE. LTD.", 3, None),
-    ("Harvey", "HARVEY NORMAN SINGAPORE PTE LTD", 18, None),
-    ("Harvey", "HARVEY CONSTRUCTION PTE. LTD.", 18, None),
-    ("Parallel", "PARALLEL MINDS PTE. LTD.", 39, None),
-    ("Decagon", "DECAGON PTE. LTD.", 3, "probable"),
-    ("Harvey", "HARVEY PTE LTD", 18, "probable"),
+    ("Quillfern", "QUILLFERN SINGAPORE PTE. LTD.", 1, "confirmed"),
+    ("Quillfern", "QUILLFERN ASIA PACIFIC PTE. LTD.", 1, "confirmed"),
+    ("Marrowind Systems", "MARROWIND PTE. LTD.", 2, "confirmed"),
+    ("Marrowind Systems", "MARROWIND DATA PTE. LTD.", 1, "confirmed"),
+    ("Ostrel AI", "OSTREL AI (SG) PTE. LTD.", 1, "confirmed"),
+    ("Seven Labs", "SEVEN SEAS PTE. LTD.", 14, None),
+    ("Tern", "TERN CONSULTING PTE. LTD.", 9, None),
+    ("Tern", "TERN PTE LTD", 9, "probable"),
 )
 EVENT_DATES = (  # text, starts on, ends on
     ("SEMICON West 2026 · July 7–9, 2026 · Phoenix, AZ", "2026-07-07", "2026-07-09"),
@@ -70,18 +57,3 @@ URLS = (  # address, canonical form
     ("https://example.com/", "https://example.com"), ("ftp://example.com/x", None), ("not a url", None), ("HTTPS://Sub.Example.com", "https://sub.example.com"),
     ("https://example.com/?ref=y", "https://example.com"), ("https://example.com/p?b=1&b=0&gclid=3", "https://example.com/p?b=1&b=0"),
 )
-
-
-def values_sql(rows: tuple, names: str, kinds: str) -> str:
-    """Rows as a DuckDB select with the kinds given."""
-
-    def shown(x: object) -> str:
-        if x is None:
-            return "null"
-        if isinstance(x, str):
-            return "'" + x.replace("'", "''") + "'"
-        return "[" + ", ".join(map(shown, x)) + "]" if isinstance(x, list) else repr(x)
-
-    body = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
-    casts = ", ".join(f"cast({n} as {k}) as {n}" for n, k in zip(names.split(), kinds.split(), strict=True))
-    return f"select {casts} from (values {body}) t({', '.join(names.split())})"

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import facts as truth
 from harborlens.functions import dates, filters, money, text
-from harborlens.plans import ground_truth as truth
 
 
 def column(spark, values, f, kind="string"):
@@ -89,3 +89,43 @@ def test_filters(spark):
 @pytest.mark.parametrize("place, country", [("Greater Tokyo", "Japan"), ("Remote, UK", "United Kingdom"), ("Nowhere", None)])
 def test_countries(spark, place, country):
     assert column(spark, [place], filters.country_of) == [country]
+
+
+def test_profiles(spark):
+    rows = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(truth.PROFILES)], "id long, website string, headline string, url string, country string, rounds array<double>")
+    got = rows.orderBy("id").select(money.profile_agrees(*(F.col(c) for c in ("website", "headline", "url", "country", "rounds")))).collect()
+    assert [g[0] for g in got] == [r[5] for r in truth.PROFILES]
+
+
+def brute_json(raw):
+    """A reply's JSON by going through its signs one by one."""
+    import re
+
+    if raw is None:
+        return None
+    if fenced := re.search(r"```(?:json)?\s*([\s\S]*?)```", raw):
+        return fenced[1].strip()
+    start = min((i for i in (raw.find("{"), raw.find("[")) if i >= 0), default=-1)
+    if start < 0:
+        return None
+    ends, depth, said, skip = {"{": "}", "[": "]"}[raw[start]], 0, False, False
+    for i in range(start, len(raw)):
+        c = raw[i]
+        if skip:
+            skip = False
+        elif c == "\\":
+            skip = True
+        elif c == '"':
+            said = not said
+        elif not said:
+            depth += (c == raw[start]) - (c == ends)
+            if depth == 0:
+                return raw[start : i + 1]
+    return None
+
+
+def test_balanced_json(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(['{', '}', '[', ']', '"', "\\", "a", "é", "\n", " ", '\\"', '"x": ']) for _ in range(rng.randrange(25))) for _ in range(400)]
+    texts += ['{"a": "' + "x{" * 20_000 + '"} rest', "{" * 5_000 + "}" * 5_000 + "x", "[" * 3_000, None, "", "none", "{\\", "```\n{1}\n```", "```json [1, 2] ``` {", "a { b } c { d }"]
+    assert column(spark, texts, text.balanced_json) == [brute_json(t) for t in texts]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlens.operators import cluster, graph, latest, placement, resolve
 from harborlens.sources import feeds
+from harborlens.sources.boards import board_jobs
 from harborlens.streaming import weekly
 
 
@@ -97,8 +98,9 @@ def test_feeds(spark, tmp_path):
     f.write_text('a,b\n"x, ""y""\nz", 1 \nonly\n')
     assert [tuple(r) for r in feeds.read_csv(spark, str(f), ["a", "b"]).collect()] == [('x, "y"\nz', "1"), ("only", "")]
     boards = [("greenhouse", '{"jobs":[{"id":1,"title":" Eng ","location":{"name":"Tokyo"},"absolute_url":"u","departments":[{"name":"R"}]}]}'), ("lever", '[{"id":"2","text":"Ops","hostedUrl":"v","categories":{"team":"T"}}]'), ("ashby", "broken")]
-    jobs = feeds.parse_boards(spark.createDataFrame(boards, "vendor string, body string"), "vendor", "body").collect()
-    assert {(j.vendor, j.title, j.location, j.department) for j in jobs} == {("greenhouse", "Eng", "Tokyo", "R"), ("lever", "Ops", None, "T")}
+    rows = [(i, v, 200, b) for i, (v, b) in enumerate(boards)]
+    jobs = board_jobs(spark.createDataFrame(rows, "i int, vendor string, status int, body string"), "vendor", "status", "body", "i").collect()
+    assert {(j.vendor, j.title, j.location, j.department) for j in jobs} == {("greenhouse", "Eng", "Tokyo", "R"), ("lever", "Ops", None, "T"), ("ashby", None, None, None)}
 
 
 def test_streams_match_batch(spark, tmp_path):
