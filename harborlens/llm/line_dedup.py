@@ -13,7 +13,7 @@ def _lines(c: Column) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, positions: int = 500_000
 ) -> DataFrame:
     """One row per input row: id, n_lines, n_dropped, text (the lines that stay, in their order).
 
@@ -24,7 +24,8 @@ def line_dedup(
     Lines are exploded with their positions and hashed to 128 bits; only hashes, ids and
     positions travel by key. Holders are counted with a map-side combine, so a line that
     a third of all documents hold is a few rows to its reducer; for the join back, the lines
-    of such a key are dealt into parts (see ``dealt``). Texts move once, to meet their dropped positions.
+    of such a key are dealt into parts (see ``dealt``). Texts move once, to meet their dropped positions, of which a
+    partition has about ``positions`` at most, however many there are in all.
 
     Null or empty texts are one empty line. Rows that share an id are one document. A
     null id counts as one document that comes after all others; ids other than whole numbers
@@ -55,11 +56,11 @@ def line_dedup(
     held = checkpointed(held)
     repeats = held.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     parts, held = dealt(lines, held, ["_h1", "_h2"], "_n", repeats, ["_doc", "_pos", "_own"])
-    dropped = (
-        parts.join(held, ["_h1", "_h2", "_part"]).where("_doc <> _first")
-        .groupBy("_doc", "_own").agg(F.collect_set("_pos").alias("_drop"))
-    )
-    met = rows.join(dropped.hint("shuffle_hash"), ["_doc", "_own"], "left")  # the slim side is held, so that texts needn't be sorted
+    # The slim side is held, so that texts needn't be sorted: partitions are as many as its positions ask for.
+    many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-repeats // positions))
+    gone = parts.join(held, ["_h1", "_h2", "_part"]).where("_doc <> _first").select("_doc", "_own", "_pos")
+    dropped = gone.repartition(many, "_doc", "_own").groupBy("_doc", "_own").agg(F.collect_set("_pos").alias("_drop"))
+    met = rows.repartition(many, "_doc", "_own").join(dropped.hint("shuffle_hash"), ["_doc", "_own"], "left")
     split = _lines(F.col("_text"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop")), lambda i: F.get(split, i))
     return met.select(
