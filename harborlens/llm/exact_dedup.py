@@ -71,7 +71,8 @@ def exact_dedup(
     )
     # Rows without a hash have no copy; their ids spread them over the partitions.
     key = F.coalesce("_hash", F.unhex(F.sha2(F.col("_id").cast("string"), 224)))
-    parts, groups = dealt(hashed.withColumn("_key", key), groups, ["_len", "_key"], "_n", hashed.count(), ["_id", *own])
+    numbered = hashed.withColumns({"_key": key, "_row": F.monotonically_increasing_id()})  # rows of a hot text are dealt by number: their ids may all be null
+    parts, groups = dealt(numbered, groups, ["_len", "_key"], "_n", hashed.count(), ["_row"])
     found = parts.join(groups, ["_len", "_key", "_part"], "left")
     keep_id = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return found.select(
