@@ -184,8 +184,9 @@ def _components(fps: DataFrame, most: int) -> DataFrame:
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("m"))
     members, smallest = dealt(labelled, smallest, ["root"], "m", total, ["fp"])
     by_fp = members.join(smallest, ["root", "_part"]).select("fp", "n", "component")
-    parts, by_fp = dealt(fps, by_fp, ["fp"], "n", total, fps.columns)
-    return parts.join(by_fp, ["fp", "_part"]).drop("_part", "n")
+    # Rows of a hot fingerprint are dealt by number, as their ids may all be null.
+    parts, by_fp = dealt(fps.withColumn("_row", F.monotonically_increasing_id()), by_fp, ["fp"], "n", total, ["_row"])
+    return parts.join(by_fp, ["fp", "_part"]).drop("_part", "n", "_row")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
