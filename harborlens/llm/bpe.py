@@ -109,8 +109,11 @@ class Bpe:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens' bytes one after another; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.words.__getitem__, ids)).decode("utf-8", "replace")
+        """The tokens' bytes one after another; bytes that are no UTF-8 become U+FFFD, and ids that no token has are passed over."""
+        try:
+            return b"".join(map(self.words.__getitem__, ids)).decode("utf-8", "replace")
+        except (KeyError, IndexError, TypeError):
+            return b"".join(self.words[i] for i in ids if i in self.words).decode("utf-8", "replace")
 
 
 def _loaded(path: str, cache: dict = {}) -> Bpe:  # noqa: B006  one for each Python worker
@@ -153,7 +156,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of every row of (id, ids): the vocabulary strings one after another. Null ids give an empty text."""
+    """(id, text) of every row of (id, ids): the vocabulary strings one after another. Null ids give an empty text; null elements and ids
+    outside the vocabulary are passed over, as the tokenizers library does; repeated rows have a row each."""
     ship_package(tokens.sparkSession)
     kind = tokens.schema[id_col].dataType.simpleString()
 
