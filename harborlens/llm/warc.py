@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import ship_package
+from harborlens.llm.common import checkpointed, dealt, ship_package
 
-CHUNK = 1 << 16
+CHUNK, HEAD = 1 << 16, 1 << 20
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 
@@ -82,7 +82,7 @@ def members(chunks: Iterable[bytes]) -> Iterator[Iterator[bytes]]:
             pass
 
 
-def _until_blank(pieces: Iterator[bytes], buffer: bytearray, most: int = 1 << 20) -> bytes:
+def _until_blank(pieces: Iterator[bytes], buffer: bytearray, most: int = HEAD) -> bytes:
     while (end := buffer.find(b"\r\n\r\n")) < 0:
         if len(buffer) > most:
             raise BadRecord("headers without an end")
@@ -101,7 +101,8 @@ def read_records(chunks: Iterable[bytes], with_payload: bool = True) -> Iterator
     Members are inflated piece by piece, a record's block is framed by its Content-Length,
     and the digests of block and payload are computed as the block passes. ``ok`` is
     false where a digest in the headers isn't the one computed, or bytes follow the
-    record's end. Framing that can't be followed raises BadRecord. Without payloads, what is held at once doesn't grow with a record.
+    record's end. Framing that can't be followed, and headers or an HTTP head of more than ``HEAD`` bytes,
+    raise BadRecord. Without payloads, what is held at once doesn't grow with a record.
     """
     for pieces in members(chunks):
         buffer = bytearray()
@@ -131,10 +132,13 @@ def read_records(chunks: Iterable[bytes], with_payload: bool = True) -> Iterator
             seen += len(part)
             block_digest.update(part)
             if not in_payload:
+                new = max(0, len(http) - 3)
                 http += part
-                if (end := http.find(b"\r\n\r\n")) >= 0:
+                if (end := http.find(b"\r\n\r\n", new)) >= 0:
                     part, in_payload = bytes(http[end + 4 :]), True
                     del http[end:]
+                elif len(http) > HEAD:
+                    raise BadRecord("an HTTP head without an end")
                 else:
                     continue
             payload_digest.update(part)
@@ -174,17 +178,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("html")), "len": F.octet_length("html")})
-    first = rows.groupBy("sha", "len").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Ids of rows that revisit another: only these meet the pages, on the partitioning by which the archives are written.
-    key = F.xxhash64("id", "sha")
-    again = rows.select("id", "sha", "len").join(first, ["sha", "len"]).where("not (id <=> first)")
-    again = again.select(key.alias("key"), F.col("id").alias("rid"), F.col("sha").alias("rsha"), "first").distinct()
-    payload = rows.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    slim = checkpointed(rows.select("id", "sha", "len"))
+    first = checkpointed(slim.groupBy("sha", "len").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    payload, total = slim.agg(F.coalesce(F.sum("len"), F.lit(0)), F.count(F.lit(1))).first()
+    # Ids of rows that revisit another: only these meet the pages. Rows of a payload that very many share are dealt into parts, by number, as their ids may all be null.
+    parts, first = dealt(slim.withColumn("row", F.monotonically_increasing_id()), first, ["sha", "len"], "n", total, ["row"])
+    key = F.struct("id", "sha")  # one column, which compares null ids like others; so the join needs no other partitioning than the archives'
+    again = parts.join(first, ["sha", "len", "_part"]).where("not (id <=> first)").select(key.alias("key"), "first").distinct()
     files = max(1, -(-payload // (archive_mb << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Equal hashes meet; that id and digest are equal, too, is written as ranges, as further keys would deal the pages anew.
-    same = F.expr("p.key = r.key and p.sha between r.rsha and r.rsha and (p.id between r.rid and r.rid or (p.id is null and r.rid is null))")
-    met = rows.withColumn("key", key).repartition(files, "key").alias("p").join(again.alias("r"), same, "left")
-    records = met.select("p.id", "url", "html", "first", F.col("rsha").isNotNull().alias("revisit"))
+    met = rows.withColumn("key", key).repartition(files, "key").join(again.withColumn("revisit", F.lit(True)), "key", "left")
+    records = met.select("id", "url", "html", "first", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
