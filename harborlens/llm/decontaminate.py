@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlens.llm.common import own_hashes, ship_package, without
+from harborlens.llm.common import checkpointed, own_hashes, shared_folder, ship_package, without
 
 #: Bytes of a word: 0-9, a-z and all outside ASCII; A-Z become a-z, the rest white space.
 _FOLD = bytes(
@@ -123,21 +123,54 @@ def _automaton(shared: Broadcast, number: int, window: int) -> SuffixAutomaton:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
-    """The items, as (item, text), in broadcast blocks of about ``block_bytes`` of text, dealt by a hash of item and text.
+    """The distinct items, as (item, text), in broadcast blocks of ``block_bytes`` of text at most (and one item's length).
 
-    Sizes are summed on the executors; the driver holds one block at a time, and hands it on before the next is read.
+    Items are sorted in ranges and cut by the running size of their texts; they are written by block, so that each block is read once. The driver
+    holds one block at a time, and hands it on before the next is read; its disk keeps what it has handed on.
     """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    many = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(many))
-    return [spark.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()]) for k in range(many)]
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
+    sized = items.withColumns({"size": F.octet_length("text").cast("long"), "hash": F.xxhash64("item", "text")})
+    ranged = sized.repartitionByRange("hash").sortWithinPartitions("hash", "item", "text").withColumn("at", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged.withColumn("range", F.shiftright("at", 33)))
+    own = F.sum("size").over(Window.partitionBy("range").orderBy("at")) - F.col("size")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("n"))
+    starts = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))  # a row for each range
+    cut = ranged.withColumn("own", own).join(F.broadcast(starts), "range").select("item", "text", F.floor((F.col("start") + F.col("own")) / block_bytes).alias("block"))
+    path = shared_folder(spark, "benchmark")
+    cut.write.partitionBy("block").parquet(path)
+    there = spark.read.schema("item string, text string, block long").parquet(path)
+    many = (ranged.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // block_bytes) + 1
+    return [spark.sparkContext.broadcast([tuple(r) for r in there.where(F.col("block") == k).select("item", "text").toLocalIterator()]) for k in range(many)]
+
+
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have ``size`` bytes, as often as each block's automaton must be built."""
+    some, bytes_ = [], 0
+    for b in batches:
+        some.append(b)
+        bytes_ += b.nbytes
+        if bytes_ >= size:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, bytes_ = [], 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order and apart; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def benchmark_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = 13, block_bytes: int = 2 << 20, carry: Sequence[Column] = (),
+    item_text_col: str = "text", window: int = 13, block_bytes: int = 2 << 20, held_bytes: int = 32 << 20, carry: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per input row: id, n_words, n_hit, starts, ends (word spans [start, end)), items (sorted as strings), the ``carry`` columns.
 
@@ -147,56 +180,39 @@ def benchmark_spans(
     item passage that ends at each word; words in any window's occurrence are hit.
 
     The items are broadcast, and each worker builds their automaton once. A benchmark of more than ``block_bytes`` of text is
-    dealt into blocks of whole items of about that size with an automaton each, so what driver and workers hold at once has that
-    bound (and one item's length); the documents pass once per block and the spans are merged.
+    cut into blocks of about that size with an automaton each, and the documents still pass once: a task takes ``held_bytes`` of them at a time
+    through one block after another. So what a worker holds at once has a bound, and so has what the driver holds.
 
     Null texts have no words; null item ids are no items; an empty benchmark hits nothing.
     Repeated rows are treated alike; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), *carry)
-    kept = rows.columns[2:]
-    schema = ", ".join(["row long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[2:]), "n_words long, starts array<int>, ends array<int>, items array<string>"])
-
-    def scan(shared: Broadcast) -> DataFrame:
-        number = shared._jbroadcast.id()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shared, number, window)
-            for b in batches:
-                n, starts, ends, items = [], [], [], []
-                for t in b.column(1):
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *carry)
+    kept = rows.columns[1:]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "n_words long, starts array<int>, ends array<int>, items array<string>"])
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    numbers = [b._jbroadcast.id() for b in blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = list(range(len(blocks)))
+        for b in batches if len(blocks) == 1 else _held(batches, held_bytes):
+            n, spans, items = [0] * b.num_rows, [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
+            for k in order:
+                automaton = _automaton(blocks[k], numbers[k], window)
+                for i, t in enumerate(b.column(0)):
                     ws = words(t.as_py())
-                    spans, met = automaton.spans(ws)
-                    n.append(len(ws)), starts.append([a for a, _ in spans]), ends.append([e for _, e in spans]), items.append(list(met))
-                ints = pa.list_(pa.int32())
-                found = [pa.array(n, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *found], names=["row", *kept, "n_words", "starts", "ends", "items"])
-
-        return rows.mapInArrow(run, schema)
-
-    parts = [scan(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if len(parts) == 1:
-        met = parts[0]
-    else:
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
-        met = both.groupBy("row", *kept, "n_words").agg(F.array_sort(spans).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        # Spans in order of their starts; one that touches the last one found widens it.
-        merged = F.aggregate(
-            "spans",
-            F.expr("cast(array() as array<struct<starts: int, ends: int>>)"),
-            lambda acc, x: F.when(
-                F.coalesce(F.get(acc, F.size(acc) - 1)["ends"] >= x["starts"], F.lit(False)),
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(F.get(acc, F.size(acc) - 1)["starts"].alias("starts"), F.greatest(F.get(acc, F.size(acc) - 1)["ends"], x["ends"]).alias("ends"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(F.struct(x["starts"].alias("starts"), x["ends"].alias("ends"))))),
-        )
-        met = met.withColumn("spans", merged).withColumns({"starts": F.col("spans.starts"), "ends": F.col("spans.ends")})
+                    found, met = automaton.spans(ws)
+                    n[i] = len(ws)
+                    spans[i] += found
+                    items[i] |= met
+            order.reverse()  # the next batch begins with the automaton that is there
+            if len(blocks) > 1:
+                spans = [_union(s) for s in spans]
+            ints = pa.list_(pa.int32())
+            made = [pa.array(n, pa.int64()), pa.array([[x for x, _ in s] for s in spans], ints), pa.array([[x for _, x in s] for s in spans], ints), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*kept, "n_words", "starts", "ends", "items"])
+
+    met = rows.mapInArrow(run, schema)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return met.select(
         F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "starts", "ends",
