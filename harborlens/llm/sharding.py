@@ -114,13 +114,16 @@ def shard(
     capacity is sought that best-fit-decreasing packing needs for so many, or a fixed
     ``capacity``, of which the packing then opens as few as it can; a group above the capacity is a shard alone.
 
-    Packing has two levels so that no task sees all groups. Groups below a piece's size
+    With a number of shards, packing has two levels so that no task sees all groups. Groups below a piece's size
     (mean shard / ``pieces``) are dealt to tasks by hash and packed there, largest first,
     into pieces; what those tasks hold is their open pieces. Pieces and larger groups are at most some
     ``2 * shards * pieces`` plus one for each task, whatever the rows; they alone come to the driver and are packed
     into shards. Slots number the rows of each piece, one piece after the other; a large
     group's rows are cut by a hash of their ids, so that none is numbered as one partition.
 
+    With a capacity the shards grow in number with the input. Groups are then dealt to tasks of some ``pieces`` shards' worth each and packed there
+    into shards at once: a task leaves one shard less than half full at most, and nothing but the tasks' numbers of shards meets in one place.
+
     Repeated rows and null ids are placed like others. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -137,8 +140,11 @@ def shard(
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     bound = shards or max(1, -(-total // capacity))
-    piece = max(1, total // (bound * pieces))
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), bound * pieces))
+    if shards:
+        piece = max(1, total // (bound * pieces))
+        tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), bound * pieces))
+    else:
+        piece, tasks = capacity, -(-bound // pieces)
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -147,23 +153,27 @@ def shard(
         for b in batches:
             yield b[["h1", "h2", "bytes", "n"]].assign(piece=[at * 2**32 + packer.put(int(x)) for x in b["bytes"]])
 
-    small = groups.where(F.col("bytes") < piece)
+    small = groups.where(F.col("bytes") < piece) if shards else groups
     dealt = small.repartition(tasks, "h1").sortWithinPartitions(F.desc("bytes"), "h1", "h2")
     bundled = dealt.mapInPandas(bundle, "h1 long, h2 long, bytes long, n long, piece long")
-    # A large group is a piece of its own: of negative number, by its hash.
-    large = groups.where(F.col("bytes") >= piece).select("h1", "h2", "bytes", "n", (-1 - F.pmod("h1", F.lit(2**62))).alias("piece"))
-    placed = checkpointed(bundled.unionByName(large))
-    parts = placed.groupBy("piece").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy(F.desc("bytes"), "piece").collect()
-    sizes = [p["bytes"] for p in parts]
-    chosen = pack_into(sizes, shards) if shards else pack(sizes, capacity)
-
     most = max(1, 2 * n_rows // (bound * pieces))  # rows numbered together, more or less
-    plan = spark.createDataFrame(
-        [(p["piece"], s, max(1, -(-p["n"] // most))) for p, s in zip(parts, chosen, strict=True)], "piece long, shard int, cuts long"
-    )
+    if shards:
+        # A large group is a piece of its own: of negative number, by its hash.
+        large = groups.where(F.col("bytes") >= piece).select("h1", "h2", "bytes", "n", (-1 - F.pmod("h1", F.lit(2**62))).alias("piece"))
+        placed = checkpointed(bundled.unionByName(large))
+        parts = placed.groupBy("piece").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy(F.desc("bytes"), "piece").collect()
+        chosen = pack_into([p["bytes"] for p in parts], shards)
+        plan = F.broadcast(spark.createDataFrame([(p["piece"], s, max(1, -(-p["n"] // most))) for p, s in zip(parts, chosen, strict=True)], "piece long, shard int, cuts long"))
+    else:
+        placed = checkpointed(bundled)
+        sums = placed.groupBy("piece").agg(F.sum("n").alias("n")).withColumn("task", F.shiftright("piece", 32))
+        each = sums.groupBy("task").agg(F.count(F.lit(1)).alias("m"))  # a row for each task
+        firsts = each.select("task", (F.sum("m").over(_window().orderBy("task")) - F.col("m")).alias("first"))
+        number = F.col("first") + F.col("piece").bitwiseAND(F.lit(2**32 - 1))
+        plan = sums.join(F.broadcast(firsts), "task").select("piece", number.cast("int").alias("shard"), F.greatest(F.lit(1), F.ceil(F.col("n") / most)).alias("cuts"))
     at = (
         rows.join(placed.select("h1", "h2", "piece"), ["h1", "h2"])
-        .join(F.broadcast(plan), "piece")
+        .join(plan, "piece")
         .withColumn("cut", F.pmod(F.xxhash64("id", "row"), F.col("cuts")))
         .select("id", "size", "row", "shard", "piece", "cut", *own)
     )
@@ -172,7 +182,8 @@ def shard(
     before = F.sum("count").over(_window("shard").orderBy("piece", "cut").rowsBetween(-(2**63), -1))
     starts = runs.select("piece", "cut", F.coalesce(before, F.lit(0)).alias("start"))
     number = F.row_number().over(_window("piece", "cut").orderBy(F.col("id").asc_nulls_last(), "row")) - 1
-    return at.withColumn("number", number).join(F.broadcast(starts), ["piece", "cut"]).select(
+    starts = F.broadcast(starts) if shards else starts  # some 3 * shards * pieces rows, whatever the input
+    return at.withColumn("number", number).join(starts, ["piece", "cut"]).select(
         F.col("id").alias(id_col), "size", "shard", (F.col("start") + F.col("number")).alias("slot"),
         *(F.col(o).alias(c) for c, o in zip(carry, own, strict=True)),
     )
