@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.operators.graph import both_ways, degree_coverage, degree_discount, edge_sentence
-from harborlens.operators.shared import in_parts
+from harborlens.operators.shared import pairs_of
 
 PATH_COLUMNS = ("company_id", "kind", "via_person", "via_org", "target_id", "score", "degree", "coverage", "told")
 
@@ -23,11 +23,12 @@ def _linked(df: DataFrame, links: DataFrame, kind: str, id_col: str, name: str)
     return df.join(own, F.col(id_col) == F.col(f"_{name}"), "left").withColumn(name, F.col(f"_{name}").isNotNull()).drop(f"_{name}")
 
 
-def _pairs(ends: DataFrame, hub: str) -> DataFrame:
-    """Each two rows of a hub with different companies, as (hub, company_id, other_id, and what both rows carry with _there)."""
-    left, right = in_parts(ends, hub, "company_id")
-    there = right.select(hub, "_part", *(F.col(c).alias("other_id" if c == "company_id" else f"{c}_there") for c in ends.columns if c != hub))
-    return left.join(there, [hub, "_part"]).where(F.col("company_id") != F.col("other_id")).drop("_part")
+def _pairs(ends: DataFrame, hub: str, facts: DataFrame) -> DataFrame:
+    """Each two rows of a hub with different companies, as (hub, company_id, other_id, the hub's facts, and what both rows carry with _there).
+
+    What a score needs of a company is joined to the single rows before, so that pairs are made last and scored where they are made.
+    """
+    return pairs_of(ends, hub, "company_id", "company_id", facts).withColumnRenamed("company_id_there", "other_id")
 
 
 def person_paths(roles: DataFrame, links: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def person_paths(roles: DataFrame, links: DataFrame) -> DataFrame:
     1.0 where the other company is linked to Singapore, else 0.55, discounted by the person's number of roles, times 1.4.
     """
     degree = roles.groupBy("person_id").agg(F.count(F.lit(1)).alias("degree"))
-    p = _linked(_pairs(roles.select("person_id", "company_id", "role"), "person_id").join(degree, "person_id"), links, "company", "other_id", "there")
-    score = F.when(F.col("there"), 1.0).otherwise(0.55) * degree_discount(F.col("degree")) * 1.4
+    p = _pairs(_linked(roles.select("person_id", "company_id", "role"), links, "company", "company_id", "linked"), "person_id", degree)
+    score = F.when(F.col("linked_there"), 1.0).otherwise(0.55) * degree_discount(F.col("degree")) * 1.4
     told = F.concat("role", F.lit(" here, "), "role_there", F.lit(" there"))
     return _rows(p, "person_role", company_id=F.col("company_id"), via_person=F.col("person_id"), target_id=F.col("other_id"), score=score, degree=F.col("degree"), told=told)
 
@@ -49,14 +50,14 @@ def fund_paths(investments: DataFrame, orgs: DataFrame, companies: DataFrame, li
     is linked, else 0.35; discounted by the fund's edges, by half or more where its portfolio wasn't scraped.
     """
     degree = investments.groupBy("org_id").agg(F.count(F.lit(1)).alias("degree"), F.count_if("scraped").alias("scraped"))
-    status = companies.select(F.col("company_id").alias("other_id"), "familiarity")
-    p = _pairs(investments.select("org_id", "company_id").distinct(), "org_id").join(degree, "org_id").join(orgs.select("org_id", "sg_presence"), "org_id").join(status, "other_id")
-    p = _linked(p, links, "company", "other_id", "there")
+    told = companies.select("company_id", F.coalesce(F.col("familiarity").isin(*engaged), F.lit(False)).alias("engaged"), F.lit(True).alias("known"))
+    ends = _linked(investments.select("org_id", "company_id").distinct().join(told, "company_id", "left"), links, "company", "company_id", "linked")
+    p = _pairs(ends, "org_id", degree.join(orgs.select("org_id", "sg_presence"), "org_id")).where("known_there")
     here = F.coalesce(F.col("sg_presence"), F.lit(False))
-    p = p.where(here | F.col("there") | F.coalesce(F.col("familiarity").isin(*engaged), F.lit(False)))
+    p = p.where(here | F.col("linked_there") | F.col("engaged_there"))
     coverage = degree_coverage(F.col("scraped"), F.col("degree"))
     discount = F.when(coverage == "scraped", degree_discount(F.col("degree"))).otherwise(F.least(degree_discount(F.col("degree")), F.lit(0.5)))
-    score = F.when(here, 0.8).when(F.col("there"), 0.6).otherwise(0.35) * discount
+    score = F.when(here, 0.8).when(F.col("linked_there"), 0.6).otherwise(0.35) * discount
     return _rows(p, "fund_portfolio", company_id=F.col("company_id"), via_org=F.col("org_id"), target_id=F.col("other_id"), score=score, degree=F.col("degree"), coverage=coverage)
 
 

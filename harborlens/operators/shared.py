@@ -40,9 +40,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
 
 
-def dealt(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], most: int = 1_000, lists: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on ``keys``, ready to be joined on ``keys`` and ``_part``: the left rows of a key of more than ``most`` are dealt
-    into parts of about so many by a hash of ``by``, and its right rows are repeated for each part.
+def dealt(left: DataFrame, rights: list[DataFrame], keys: list[str], by: list[str], most: int = 1_000, lists: int = 10_000) -> list[DataFrame]:
+    """The sides of joins on ``keys``, ready to be joined on ``keys`` and ``_part``: the left rows of a key of more than ``most`` are dealt
+    into parts of about so many by a hash of ``by``, and its rows in each of ``rights`` are repeated for each part.
 
     The hot keys alone are broadcast, the ``lists`` hottest of them if there are more; a key beyond these has less than a ``lists``-th of the rows.
     """
@@ -50,12 +50,18 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], mos
     hot = left.groupBy(*keys).agg((F.floor(n / most) + 1).cast("int").alias("_parts")).where("_parts > 1").orderBy(F.desc("_parts"), *keys).limit(lists)
     part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))
     each = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    return tuple(side.join(F.broadcast(hot), keys, "left").withColumn("_part", c).drop("_parts") for side, c in ((left, part), (right, each)))
+    return [side.join(F.broadcast(hot), keys, "left").withColumn("_part", part if i == 0 else each).drop("_parts") for i, side in enumerate((left, *rights))]
 
 
-def in_parts(rows: DataFrame, hub: str, by: str, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join of ``rows`` with themselves on ``hub`` and ``_part`` (see ``dealt``)."""
-    return dealt(rows, rows, [hub], [by], most)
+def pairs_of(rows: DataFrame, hub: str, by: str, different: str, facts: DataFrame, most: int = 1_000) -> DataFrame:
+    """Each two ``rows`` of a hub that differ in ``different``: the columns of the one, the hub's ``facts`` (one row per hub), and those of the other with ``_there``.
+
+    A hub of many rows is dealt into parts (see ``dealt``). Facts are joined to the single rows on the parts by which the pairs are then
+    made, so nothing of a hub meets in one task, and pairs, which grow with its square, aren't shuffled.
+    """
+    left, right, facts = dealt(rows, [rows, facts], [hub], [by], most)
+    there = right.select(hub, "_part", *(F.col(c).alias(f"{c}_there") for c in rows.columns if c != hub))
+    return left.join(facts, [hub, "_part"]).join(there, [hub, "_part"]).where(F.col(different) != F.col(f"{different}_there")).drop("_part")
 
 
 def with_before(df: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:

@@ -110,7 +110,12 @@ def test_rows_before(spark):
 def test_hot_hubs_are_dealt(spark):
     """No task gets a third of all rows because one hub has them."""
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("hub"), F.col("id").alias("end"))
-    left, right = shared.in_parts(rows, "hub", "end")
+    left, right = shared.dealt(rows, [rows], ["hub"], ["end"])
     assert left.groupBy("hub", "_part").count().agg(F.max("count")).first()[0] < 2_000
     assert left.count() == 30_000
     assert right.where("hub = -1").groupBy("_part").count().select("count").distinct().count() == 1
+    degree = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("degree"))
+    few = rows.where("end < 300")
+    got = shared.pairs_of(few, "hub", "end", "end", degree, most=10)
+    assert got.count() == 100 * 99 and got.select("degree").distinct().collect()[0][0] == 10_000
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1  # the pairs of one hub come from several tasks
