@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlens.functions.derive import points
+from harborlens.operators.shared import checkpointed
 
 # Words of a page's headings, which no person's name holds.
 NO_CONTACT = (
@@ -21,7 +22,7 @@ SEVERITY = ("blocked", "down", "zero_volume", "stale", "ok")
 def contacts(roles: DataFrame, people: DataFrame, companies: DataFrame, most: int = 4) -> DataFrame:
     """(company_id, contacts): up to ``most`` people of each company, those who can be reached first.
 
-    Over roles (company_id, person_id, last_seen), people (person_id, name, email, profile) and companies (company_id, company_name). A person
+    Over roles (company_id, person_id), people (person_id, name, email, profile) and companies (company_id, company_name). A person
     with several roles counts once; names that look like headings, or are the company's, are left out. The first ``most`` by id are taken, and
     these are ordered by an email, a profile or neither, and then by name.
     """
@@ -44,24 +45,27 @@ def why_now(items: DataFrame, key: str, most: int = 4) -> DataFrame:
     """(key, points, mixed): up to ``most`` points for each key that differ, the featured item's first, then those of job boards, then by date.
 
     Over items (key, item_id, why, job_board, published_at, featured). A point whose significant words are covered to 0.6 by those of one taken before is
-    left out. Order matters, so each key's points are folded in it; ``mixed`` says whether points of job boards and others stand together.
+    left out. Each round takes every key's first point that is left, by a map-side minimum, and leaves out what it covers; so a key's points are never in one
+    row or task together. ``mixed`` says whether points of job boards and others stand together.
     """
     rank = F.when(F.col("featured"), 0).when(F.col("job_board"), 1).otherwise(2)
     when = -F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(0))
     told = items.select(key, rank.alias("rank"), F.when(F.col("featured"), F.lit(0).cast("long")).otherwise(when).alias("at"), "item_id", "job_board", F.posexplode(points(F.col("why"))).alias("pos", "text"))
-    one = F.struct("rank", "at", "item_id", "pos", "text", "job_board", _signature(F.col("text")).alias("words"))
-    listed = told.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    kind = "array<struct<text: string, item_id: bigint, job_board: boolean, words: array<string>>>"
-
-    def taken(acc: Column, x: Column) -> Column:
-        shared = lambda y: F.size(F.array_intersect(y["words"], x["words"]))
-        like = F.exists(acc, lambda y: (F.least(F.size(y["words"]), F.size(x["words"])) > 0) & (shared(y) >= 0.6 * F.least(F.size(y["words"]), F.size(x["words"]))))
-        own = F.struct(x["text"].alias("text"), x["item_id"].cast("long").alias("item_id"), x["job_board"].alias("job_board"), x["words"].alias("words"))
-        return F.when((F.size(acc) >= most) | like, acc).otherwise(F.concat(acc, F.array(own)))
-
-    folded = listed.select(key, F.aggregate("all", F.expr(f"cast(array() as {kind})"), taken).alias("p"))
+    left = checkpointed(told.withColumn("words", _signature(F.col("text"))))
+    keys, taken = left.select(key).distinct(), None
+    for n in range(most):
+        first = checkpointed(left.groupBy(key).agg(F.min(F.struct("rank", "at", "item_id", "pos", "text", "job_board", "words")).alias("_f")))
+        part = first.select(key, F.lit(n).alias("n"), "_f.text", "_f.item_id", "_f.job_board")
+        taken = part if taken is None else taken.unionByName(part)
+        same = F.struct("rank", "at", "item_id", "pos", "text") == F.struct("_f.rank", "_f.at", "_f.item_id", "_f.pos", "_f.text")
+        least = F.least(F.size("words"), F.size("_f.words"))
+        like = (least > 0) & (F.size(F.array_intersect("words", "_f.words")) >= 0.6 * least)
+        if n + 1 < most:
+            left = checkpointed(left.join(first, key).where(~same & ~like).drop("_f"))
+    found = taken.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "text", "item_id", "job_board"))).alias("p"))
+    found = keys.join(found, key, "left")
     mixed = F.exists("p", lambda x: x["job_board"]) & F.exists("p", lambda x: ~x["job_board"])
-    return folded.select(key, F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["item_id"].alias("item_id"))).alias("points"), mixed.alias("mixed"))
+    return found.select(key, F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["item_id"].alias("item_id"))).alias("points"), mixed.alias("mixed"))
 
 
 def monitored(watches: DataFrame, signals: DataFrame) -> DataFrame:
