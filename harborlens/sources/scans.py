@@ -147,7 +147,7 @@ def team_people(pages: DataFrame, html: str, key: str) -> DataFrame:
 
 def filing_details(filings: DataFrame, xml: str, *keep: str) -> DataFrame:
     """One row per filing: issuer, place, industry, amounts, kinds of securities, and the related persons as an array of structs."""
-    tag = lambda body, name: F.nullif(F.trim(F.regexp_extract(body, rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
+    tag = lambda body, name: F.nullif(F.regexp_extract(body, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1), F.lit(""))
     value = lambda body, name: tag(tag(body, name), "value")
     x = F.col(xml)
     issuer, offering = tag(x, "primaryIssuer"), tag(x, "offeringData")
