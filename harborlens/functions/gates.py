@@ -205,30 +205,48 @@ def category_name(name: Column) -> Column:
     return F.element_at(words, -1).rlike(CATEGORY) & F.forall(F.slice(words, 1, F.size(words) - 1), lambda w: w.rlike(DESCRIPTOR))
 
 
-def _without_lead(before: Column) -> Column:
-    """A name without the words that lead to it, unless only a suffix would be left; null where what follows them is no name."""
-    bare = bound(F.trim(F.regexp_replace(before, LEAD_IN, "")), lambda x: F.when(x.rlike("^[A-Z]"), F.when(x.rlike(BARE_SUFFIX), before).otherwise(x)))
-    return F.when(before.rlike(LEAD_IN), bare).otherwise(before)
+def _subject(title: Column) -> Column:
+    """What a headline says before its verb, as facts: struct(before, led, own), each null where there is none.
 
+    ``before`` stands before the verb; ``led`` is that without the words that lead to a name, unless only a suffix would be left; ``own`` is what
+    ``led`` holds before a comma or dash, without signs at its ends and a trailing auxiliary.
+    """
+    opened = F.regexp_replace(F.trim(title), OPENER, "")
+    before = bound(opened, lambda x: F.when(x.rlike(RAISE_VERB), F.trim(F.substr(x, F.lit(1), F.regexp_instr(x, F.lit(RAISE_VERB)) - 1))))
 
-def _tidy_name(led: Column) -> Column:
-    """What is left of a name before a comma or dash, without signs at its ends and a trailing auxiliary; null for a possessive."""
-    own = F.trim(F.regexp_replace(F.when(~led.rlike(r"['’]s\b"), led), r"(?s)[,:;–—].*$", ""))
-    own = F.regexp_replace(F.regexp_replace(own, r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}.'’&-]+$", "")
-    return F.trim(F.regexp_replace(own, AUXILIARY, ""))
+    def led(x: Column) -> Column:
+        rest = F.trim(F.regexp_replace(x, LEAD_IN, ""))
+        return F.when(~x.rlike(LEAD_IN) | rest.rlike(BARE_SUFFIX) & rest.rlike("^[A-Z]"), x).when(rest.rlike("^[A-Z]"), rest)
 
+    def own(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?s)[,:;–—].*$", "")), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}.'’&-]+$", "")
+        return F.trim(F.regexp_replace(bare, AUXILIARY, ""))
 
-def _plausible(own: Column) -> Column:
-    n = F.size(F.split(own, r"\s+"))
-    fits = (own != "") & ~own.rlike(NO_COMPANY) & ~category_name(own) & (n <= 5) & F.length(own).between(2, 60) & own.rlike("[A-Z]")
-    return F.when(fits & ((n > 1) | own.rlike("^[A-Z]") | own.rlike(KEPT_SUFFIX)), own)
+    return bound(before, lambda x: bound(led(x), lambda y: F.struct(x.alias("before"), y.alias("led"), own(y).alias("own"))))
+
+
+def _rejections(s: Column) -> dict[str, Column]:
+    """Why a subject is no company's name, by name of the reason."""
+    own, words = s["own"], F.size(F.split(s["own"], r"\s+"))
+    return {
+        "no verb": s["before"].isNull(), "a kind of company": s["led"].isNull() | category_name(own), "part of a company": s["led"].rlike(r"['’]s\b"), "nothing left": own == "",
+        "not a company": own.rlike(NO_COMPANY), "a sentence": (words > 5) | ~F.length(own).between(2, 60), "no capital": ~own.rlike("[A-Z]"), "a common noun": (words == 1) & ~own.rlike("^[A-Z]") & ~own.rlike(KEPT_SUFFIX),
+    }
+
+
+def headline_subject(title: Column) -> Column:
+    """struct(name, rejected): the company that a headline says raises, launches or lists, or why what stands before the verb can't be its name."""
+
+    def told(s: Column) -> Column:
+        reason = F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), name) for name, test in _rejections(s).items()))
+        return bound(reason, lambda r: F.struct(F.when(r.isNull(), s["own"]).alias("name"), r.alias("rejected")))
+
+    return bound(_subject(title), told)
 
 
 def company_from_headline(title: Column) -> Column:
-    """The company that a headline says raises, launches or lists; null where what stands before the verb can't be its name."""
-    t = F.regexp_replace(F.trim(title), OPENER, "")
-    before = bound(t, lambda x: F.when(x.rlike(RAISE_VERB), F.trim(F.substr(x, F.lit(1), F.regexp_instr(x, F.lit(RAISE_VERB)) - 1))))
-    return bound(before, lambda x: bound(_without_lead(x), lambda y: bound(_tidy_name(y), _plausible)))
+    """The company that a headline says raises, launches or lists; null where there is none."""
+    return headline_subject(title)["name"]
 
 
 def discovery_headline(title: Column, snippet: Column | None = None) -> Column:

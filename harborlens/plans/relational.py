@@ -18,15 +18,8 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
-@query("""
-    with s as (select o_orderkey as item_id, o_custkey as company_id, o_orderkey % 4 as expansion, (o_orderkey // 4) % 4 as momentum,
-            (o_orderkey // 16) % 4 as partnership, ['funding', 'hiring', 'launch', 'partnership', 'noise'][o_orderkey % 5 + 1] as signal_type,
-            case o_orderpriority when '1-URGENT' then 'high' when '2-HIGH' then 'medium' when '3-MEDIUM' then 'low' when '5-LOW' then 'unknown' end as priority,
-            ['high', 'medium', 'low', 'unknown'][o_custkey % 4 + 1] as fit, ['known', 'in_conversation', 'unfamiliar'][o_custkey % 3 + 1] as familiarity,
-            o_orderdate as published_at, (o_custkey % 12) + 1 as cluster_size, ['series_a', 'seed', 'series_d', ''][o_custkey % 4 + 1] as round,
-            o_totalprice * 20000 as valuation_usd, o_totalprice * 500 as round_usd, case when c_nationkey = 7 then 'Singapore' else 'Elsewhere' end as hq
-        from orders join customer on c_custkey = o_custkey where o_orderdate >= timestamp '2001-06-01' and o_orderdate < timestamp '2001-08-02'),
-    b as (select *, greatest(expansion, partnership) as trig, case priority when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as p,
+#: From s, the signals of a digest, to their places.
+PLACED_SQL = """b as (select *, greatest(expansion, partnership) as trig, case priority when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as p,
             case fit when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as f,
             greatest(0, 30 - floor((epoch(timestamp '2001-08-02') - epoch(published_at)) / 86400)) as fresh from s),
     c as (select *, familiarity = 'known' as known,
@@ -54,7 +47,18 @@ def cents(c: str) -> Column:
             order by signal_type in (select signal_type from shown where section in ('worth_a_conversation', 'new_on_the_radar', 'who_we_know')), trend desc, item_id limit 1)),
     numbered as (select item_id, company_id, section, rank, row_number() over (partition by section order by rank desc, item_id) as position from late
         union all select item_id, company_id, section, rank, position from shown)
-    select item_id, company_id, section, rank::double as rank, position, case when position <= 3 then 'full' when position <= 10 then 'brief' else 'line' end as detail from numbered""")
+    select item_id, company_id, section, rank::double as rank, position, case when position <= 3 then 'full' when position <= 10 then 'brief' else 'line' end as detail from numbered"""
+
+
+@query(f"""
+    with s as (select o_orderkey as item_id, o_custkey as company_id, o_orderkey % 4 as expansion, (o_orderkey // 4) % 4 as momentum,
+            (o_orderkey // 16) % 4 as partnership, ['funding', 'hiring', 'launch', 'partnership', 'noise'][o_orderkey % 5 + 1] as signal_type,
+            case o_orderpriority when '1-URGENT' then 'high' when '2-HIGH' then 'medium' when '3-MEDIUM' then 'low' when '5-LOW' then 'unknown' end as priority,
+            ['high', 'medium', 'low', 'unknown'][o_custkey % 4 + 1] as fit, ['known', 'in_conversation', 'unfamiliar'][o_custkey % 3 + 1] as familiarity,
+            o_orderdate as published_at, (o_custkey % 12) + 1 as cluster_size, ['series_a', 'seed', 'series_d', ''][o_custkey % 4 + 1] as round,
+            o_totalprice * 20000 as valuation_usd, o_totalprice * 500 as round_usd, case when c_nationkey = 7 then 'Singapore' else 'Elsewhere' end as hq
+        from orders join customer on c_custkey = o_custkey where o_orderdate >= timestamp '2001-06-01' and o_orderdate < timestamp '2001-08-02'),
+    {PLACED_SQL}""")
 def digest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly digest: two months of orders as signals, customers as companies."""
     orders = read(spark, sf_dir, "orders").where("o_orderdate >= '2001-06-01' and o_orderdate < '2001-08-02'")

@@ -9,7 +9,9 @@ from harborlens.functions import gates, text
 from harborlens.functions.dates import week_of
 from harborlens.operators import week as weekly
 from harborlens.operators.shared import numbered
+from harborlens.operators.placement import detail, place
 from harborlens.plans.registry import query, read
+from harborlens.plans.relational import PLACED_SQL
 
 ASOF = "2001-08-02"
 HIDDEN = ("FURNITURE",)
@@ -102,6 +104,28 @@ def weekly_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(_base(spark, sf_dir, "latest"))
 
 
+@query(f"""with s as ({_BASE_SQL}
+    select base.item_id, base.company_id, expansion, momentum, partnership, ['funding', 'hiring', 'launch', 'partnership', 'noise'][base.item_id % 5 + 1] as signal_type,
+        case assessment % 5 when 0 then 'unknown' when 1 then 'low' when 2 then 'medium' else 'high' end as priority, case when assessment is not null then ['high', 'medium', 'low'][base.company_id % 3 + 1] end as fit,
+        ['known', 'in_conversation', 'unfamiliar'][base.company_id % 3 + 1] as familiarity, published as published_at, cluster_size, ['series_a', 'seed', 'series_d', ''][base.company_id % 4 + 1] as round,
+        base.item_id * 1e6 as valuation_usd, base.item_id * 1e4 as round_usd, 'Elsewhere' as hq from base join i on i.item_id = base.item_id where week_of = (select max(week_of) from base)),
+    {PLACED_SQL.replace("greatest(0, 30 - floor(", "case when published_at is null then 10 else greatest(0, 30 - floor(").replace("/ 86400)) as fresh", "/ 86400)) end as fresh")}""")
+def weekly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the latest week with anything in it, placed from the weekly relation."""
+    base = _base(spark, sf_dir, None)
+    last = base.agg(F.max("week_of")).first()[0]
+    c, i, a = F.col("company_id"), F.col("item_id"), F.col("priority")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    signals = base.where(F.col("week_of") == F.lit(last)).select(
+        "item_id", "company_id", "expansion", "momentum", "partnership", pick(["funding", "hiring", "launch", "partnership", "noise"], i % 5).alias("signal_type"),
+        F.when(a % 5 == 0, "unknown").when(a % 5 == 1, "low").when(a % 5 == 2, "medium").otherwise("high").alias("priority"), F.when(a.isNotNull(), pick(["high", "medium", "low"], c % 3)).alias("fit"),
+        pick(["known", "in_conversation", "unfamiliar"], c % 3).alias("familiarity"), "published_at", F.col("cluster_size"), pick(["series_a", "seed", "series_d", ""], c % 4).alias("round"),
+        (i * 1e6).alias("valuation_usd"), (i * 1e4).alias("round_usd"), F.lit("Elsewhere").alias("hq"),
+    )
+    placed = place(signals, F.lit(ASOF).cast("timestamp"))
+    return placed.select("item_id", "company_id", "section", F.col("rank").cast("double").alias("rank"), "position", detail(F.col("position")).alias("detail"))
+
+
 @query("""
     with d as (select doc_id, doc_id % 12 as k from documents)
     select doc_id, case k when 0 then 'blocked_domain:zacks.com' when 1 then 'blocked_source:Motley Fool' when 2 then 'junk_pattern:listicle' when 3 then 'company_mismatch' when 5 then 'no_company_match' when 7 then 'no_published_date' when 8 then 'older_than_30d' end as dropped_reason,
