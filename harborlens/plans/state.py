@@ -12,6 +12,7 @@ from harborlens.operators.shared import shared_folder
 from harborlens.operators.windows import daily_panes, slides, window_as_of
 from harborlens.plans.gates import _ROUTES, INDUSTRY
 from harborlens.plans.registry import query, read
+from harborlens.streaming import state, weekly
 
 RUNS = 5
 
@@ -131,3 +132,45 @@ def appended_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (0, 1, 0, 2, 3, 3):
         append_batch(turns.where(F.pmod("conv_id", F.lit(4)) == batch), path, batch)
     return read_batches(spark, path, "conv_id long, turn long, role string, text string")
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[str, object]:
+    """The events as files that arrive one after another, in a folder to be read as a stream."""
+    path, events = shared_folder(spark, "arrivals"), read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    for n in range(files):
+        events.where(F.col("event_id") % files == n).coalesce(1).write.mode("append").parquet(path)
+    return path, events.schema
+
+
+@query("select (ts::date - ((isodow(ts::date) + 1) % 7)::int) as week_of, event_type, count(*) as n from events group by 1, 2")
+def streamed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by week, kept up to date over files that arrive in any order of their times."""
+    path, schema = _arrivals(spark, sf_dir)
+    out, mark = shared_folder(spark, "weeks"), shared_folder(spark, "mark")
+    for _ in range(2):  # the second run finds nothing new
+        weekly.replaced_weeks(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), "ts", out, mark, "event_type")
+    return spark.read.parquet(out).select(F.col("week_of").cast("date").alias("week_of"), "event_type", "n")
+
+
+@query("""
+    select user_id, event_type, file, event_id from (select *, event_id % 3 as file from events) qualify row_number() over (partition by user_id, event_type order by file, ts, event_id) = 1""")
+def streamed_first_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's first event over all runs of a stream, whose files came one a batch."""
+    path, schema = _arrivals(spark, sf_dir)
+    seen, out, mark = (shared_folder(spark, n) for n in ("seen", "first", "mark"))
+    state.first_ever(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), ["user_id", "event_type"], ["ts", "event_id"], seen, out, mark)
+    return spark.read.parquet(out).select("user_id", "event_type", (F.col("event_id") % 3).alias("file"), "event_id")
+
+
+@query("""
+    with panes as (select event_type, ts::date as day, count(*) as n, sum(round(value * 100)::bigint) as cents from events group by 1, 2),
+    closed as (select * from panes where day + 1 <= (select (max(ts) - interval 1 day)::date from events)), points as (select event_type, day from closed union select event_type, day + 7 from closed)
+    select p.event_type, p.day, coalesce(sum(c.n), 0)::bigint as n, sum(c.cents)::bigint as cents, count(c.day) as panes from points p left join closed c on c.event_type = p.event_type and c.day > p.day - 7 and c.day <= p.day group by 1, 2""")
+def streamed_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks that slide by days, from the panes that a stream has closed."""
+    path, schema = _arrivals(spark, sf_dir, 1)
+    out, mark = shared_folder(spark, "panes"), shared_folder(spark, "mark")
+    measures = {"n": ("count", "1"), "cents": ("sum", "cents")}
+    told = state.daily_pane_stream(spark.readStream.schema(schema).parquet(path), ["event_type"], "ts", "1 day", measures)
+    told.writeStream.format("parquet").option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return slides(spark.read.schema(told.schema).parquet(out), ["event_type"], {n: how for n, (how, _) in measures.items()}, 7)

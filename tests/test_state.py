@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from harborlens.operators import outputs, pages, schema_merge, windows
 from harborlens.operators.queues import discovery_candidates
 from harborlens.sources import boards, registry
-from harborlens.streaming import state
+from harborlens.streaming import state, weekly
 
 
 def files(spark, path, rows, schema):
@@ -156,3 +156,17 @@ def test_pages_show_so_many_and_count_all(spark):
     assert ([x.n for x in by[1].a], by[1].n_a, [x.n for x in by[1].b]) == ([0, 2, 4], 1_000, [0, 1])
     assert (by[2].a, by[2].n_a, by[2].b) == ([], 0, [])
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weeks_are_brought_up_to_date(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = "k string, ts timestamp"
+    run = lambda: weekly.replaced_weeks(spark.readStream.schema(schema).parquet(src), "ts", out, mark, "k")
+    got = lambda: sorted((str(r.week_of), r.k, r.n) for r in spark.read.parquet(out).collect())
+    files(spark, src, [("a", datetime(2025, 1, 4)), ("b", datetime(2025, 1, 10)), ("a", datetime(2025, 1, 11)), ("a", datetime(2025, 1, 10))], schema)
+    run()
+    assert got() == [("2025-01-04", "a", 2), ("2025-01-04", "b", 1), ("2025-01-11", "a", 1)]
+    files(spark, src, [("a", datetime(2025, 1, 5)), ("c", datetime(2024, 6, 1))], schema)  # late rows: one week anew, its other keys kept
+    run()
+    run()
+    assert got() == [("2024-06-01", "c", 1), ("2025-01-04", "a", 3), ("2025-01-04", "b", 1), ("2025-01-11", "a", 1)]
