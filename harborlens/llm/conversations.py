@@ -109,8 +109,8 @@ def damage(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return rows.where("_kind <> 0").withColumn("_copy", F.explode(F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_kind", "_copy")
 
 
-def _ordered(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """The rows with fault and code, written in ranges of their order: _key, conv, known, turn, role, text, fault, code, _id, _range."""
+def _ordered(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, piece_bits: int) -> DataFrame:
+    """The rows with fault and code, written in ranges of their order: _key, conv, known, turn, role, text, fault, code, _id, _range (of 2 to the ``piece_bits`` rows at most)."""
     key = F.when(F.col(conv_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(conv_col).cast("string")))
     rows = turns.select(
         key.alias("_key"), F.col(conv_col).alias("conv"), F.col(turn_col).isNotNull().alias("known"), F.col(turn_col).alias("turn"),
@@ -134,7 +134,7 @@ def _ordered(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     order = ["_key", "known", "turn", "role", "_own1", "_own2", "_copy"]
     rows = rows.withColumn("fault", fault).withColumn("code", code).select(*order, "conv", "text", "fault", "code")
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    return stored(rows.withColumn("_range", F.shiftright("_id", 33)).drop("_own1", "_own2", "_copy"), "turns")
+    return stored(rows.withColumn("_range", F.shiftright("_id", piece_bits)).drop("_own1", "_own2", "_copy"), "turns")
 
 
 def _paths(rows: DataFrame) -> DataFrame:
@@ -193,7 +193,9 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_bits: int = 20
+) -> DataFrame:
     """One row for each row of ``turns`` and each insert: conv, place, sub, turn, old_role, fault, edit, role, text.
 
     Rows stand in the order of (place, sub) in their conversation; edit is K, R, D or I; role and text are those of the repaired conversation,
@@ -201,11 +203,11 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     (ends on none of ``.!?``), else null; an insert has no fault, turn or old role. Edits are the cheapest that make the roles' initials match
     ``(s?(ua)+)?`` (see ``COST``); blank rows and duplicates must go; of equally cheap edits those whose string of initials is the least in ASCII.
 
-    A conversation is cut where a range of the sorted rows ends; so a conversation of any length is dealt to many tasks (see ``_paths``). Null ids are one
+    A conversation is cut where a range of the sorted rows ends, of which none has more than 2 to the ``piece_bits`` rows; so a conversation of any length is dealt to many tasks (see ``_paths``). Null ids are one
     conversation; null turns come first; null roles and texts are one space. Rows of one turn stand by role, then by a hash of their text. Repeated rows are duplicates. A role that
     is empty, or begins with none of s, u, a, can't be kept. Columns other than the four are ignored; an empty table gives no rows.
     """
-    rows = _ordered(turns, conv_col, turn_col, role_col, text_col)
+    rows = _ordered(turns, conv_col, turn_col, role_col, text_col, piece_bits)
     # A piece's edits travel to its rows as a row before the first of them; both then stream by.
     paths = _paths(rows).select("_key", "_range", "_id", F.lit(0).alias("_after"), F.col("state").alias("_state"), F.col("last").alias("_last"), F.col("edits").alias("_edits"))
     mixed = rows.select("_key", "_range", "_id", F.lit(1).alias("_after"), "conv", "turn", "role", "text", "fault").unionByName(paths, allowMissingColumns=True)
@@ -288,14 +290,14 @@ def _report(repaired: DataFrame) -> DataFrame:
     return repaired.repartition("_key").sortWithinPartitions("_key", "place", "sub").mapInArrow(run, schema)
 
 
-def repair_report(turns: DataFrame, originals: DataFrame, conv_col: str = "conv_id", **columns: str) -> DataFrame:
+def repair_report(turns: DataFrame, originals: DataFrame, conv_col: str = "conv_id", **how: str | int) -> DataFrame:
     """(id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation that has rows in ``originals``.
 
     gaps are the turns missing between the least and the greatest; blank, duplicate, truncated count rows by their first fault; illegal counts
     neighbours whose roles' initials are none of su, ua, au; cost and audit tell the edits of ``repair``; the digest is that of the
     repaired rows, ``role:text`` a line. A conversation without rows in ``turns`` has zeros, an empty audit and the digest of an empty text.
     """
-    found = _report(repair(turns, conv_col, **columns))
+    found = _report(repair(turns, conv_col, **how))
     key: Column = F.when(F.col(conv_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(conv_col).cast("string")))
     all_of = originals.groupBy(conv_col).agg(F.lit(1).alias("_one")).select(conv_col, key.alias("_key"))
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]

@@ -114,6 +114,7 @@ def test_repair_report(spark):
     turns = spark.createDataFrame([(*r, "k", "c", 1, "f") for r in rows], SCHEMA)
     originals = spark.createDataFrame([(c,) for c in [*range(41), None, 900, 901]], "conv_id long")
     got = {r.conv_id: tuple(r)[1:] for r in repair_report(turns, originals).collect()}
+    assert got == {r.conv_id: tuple(r)[1:] for r in repair_report(turns, originals, piece_bits=2).collect()}  # pieces of four rows
     assert set(got) == {*range(41), None, 900, 901}
     assert got[40] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     for c in {r[0] for r in rows}:
