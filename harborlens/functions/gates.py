@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborlens.functions.money import parse_fundraise
-from harborlens.functions.text import bound, normalise_domain, squeeze
+from harborlens.functions.text import bound, normalise_domain, re2, squeeze
 
 # Company names that are common words.
 AMBIGUOUS_NAMES = (
@@ -145,7 +145,7 @@ BOT_CHALLENGE = r"(?i)Security Checkpoint|Just a moment\.\.\.|Enable JavaScript
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(p)
+        out = out | text.rlike(re2(p))
     return out
 
 
@@ -265,28 +265,28 @@ def _person(s: Column) -> Column:
     words = F.split(s, " ")
     n = F.size(words)
     titles = F.size(F.filter(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "").isin(*TITLE_WORDS)))
-    shaped = F.forall(F.transform(words, lambda w, i: ((i > 0) & w.rlike(PARTICLE)) | w.rlike(r"^[A-Z]\.?$") | w.rlike(NAME_WORD)), lambda ok: ok)
-    other = F.lower(s).isin(*NO_PERSON) | s.rlike(r"\d|@|https?:|&|\||,") | s.rlike(FIRM_WORDS) | s.rlike(INSTITUTION) | s.rlike(HONORIFIC)
+    shaped = F.forall(F.transform(words, lambda w, i: ((i > 0) & w.rlike(re2(PARTICLE))) | w.rlike(re2(r"^[A-Z]\.?$")) | w.rlike(re2(NAME_WORD))), lambda ok: ok)
+    other = F.lower(s).isin(*NO_PERSON) | s.rlike(re2(r"\d|@|https?:|&|\||,")) | s.rlike(re2(FIRM_WORDS)) | s.rlike(re2(INSTITUTION)) | s.rlike(re2(HONORIFIC))
     few = F.when(n <= 2, titles == 0).otherwise(titles < n - 1)
     return F.coalesce(F.length(s).between(5, 42) & ~other & n.between(2, 4) & few & shaped, F.lit(False))
 
 
 def person_name(raw: Column) -> Column:
     """Whether a text has the shape of a person's name: two to four capitalised words, few of them words of a title."""
-    return bound(squeeze(raw), _person)
+    return bound(F.trim(F.regexp_replace(raw, re2(r"\s+"), " ")), _person)
 
 
 def company_name(raw: Column) -> Column:
     """Whether a text found on a page may be a company's name, and no heading, link or address."""
     s = F.trim(raw)
-    n = F.size(F.split(s, r"\s+"))
-    sentence = s.rlike(r"[.!?]$") & (n > 2)
-    return F.coalesce(F.length(s).between(2, 48) & (n <= 5) & ~F.lower(s).isin(*PAGE_CHROME) & ~_any(s, NO_COMPANY_NAME) & ~sentence & s.rlike("(?i)[a-z]"), F.lit(False))
+    n = F.size(F.split(s, re2(r"\s+")))
+    sentence = s.rlike(re2(r"[.!?]$")) & (n > 2)
+    return F.coalesce(F.length(s).between(2, 48) & (n <= 5) & ~F.lower(s).isin(*PAGE_CHROME) & ~_any(s, NO_COMPANY_NAME) & ~sentence & s.rlike(re2("(?i)[a-z]")), F.lit(False))
 
 
 def entity_name(name: Column) -> Column:
     """Whether a name is a firm's rather than a person's, by its legal form."""
-    return F.trim(name).rlike(ENTITY_END) | name.rlike(ENTITY_WORD)
+    return F.trim(name).rlike(re2(ENTITY_END)) | name.rlike(re2(ENTITY_WORD))
 
 
 def plausible_participant(company: Column, person: Column, event: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harborlens.functions import derive, gates, money
 from harborlens.functions.filters import COUNTRIES, FUNCTIONS, JUNK_HEADLINES, SENIORITY, country_of, job_function, job_seniority, junk_reason
+from harborlens.functions.text import re2
 from harborlens.plans.registry import query, read
 
 #: A part's name as a company's, and headlines about it.
@@ -120,7 +121,7 @@ NAMES_SQL = f"names as (select page_id, unnest(regexp_extract_all(html, {_q(_LAB
         count(*) filter (regexp_matches(trim(raw), {_q(gates.ENTITY_END)}) or regexp_matches(raw, {_q(gates.ENTITY_WORD)})) as entities from k group by 1""")
 def page_name_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many labels of each page have the shape of a person's, a company's or a legal entity's name."""
-    raw = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_LABELS), F.lit(1))).alias("raw"))
+    raw = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(re2(_LABELS)), F.lit(1))).alias("raw"))
     return raw.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("labels"), F.count_if(gates.person_name(F.col("raw"))).alias("people"), F.count_if(gates.company_name(F.col("raw"))).alias("companies"),
         F.count_if(gates.entity_name(F.col("raw"))).alias("entities"),

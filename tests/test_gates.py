@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
-from harborlens.functions import derive, gates, money
+from harborlens.functions import derive, gates, money, text
 from harborlens.operators import cluster, duplicates, paths, reports
 from harborlens.operators.shared import numbered
 from harborlens.sources import scans
@@ -38,6 +39,20 @@ def test_name_shapes(spark):
     assert column(spark, ["AI startup", "Acme startup", "company", "Robotics"], gates.category_name) == [True, False, True, False]
 
 
+def test_name_shapes_read_as_in_sql(spark):
+    """Letters outside ASCII end a word, a line end isn't the end, a vertical tab is no blank, and Kelvin is a k: as RE2 has it."""
+    names = ["Caf\u00e9co", "\u00c9CO", "co\u00e9", "Acme LLC\n", "Acme LLC \n", "Ann\x0bLee", "Ann  Lee", "Ann\nLee", "Acme\x0bOne\x0bTwo\x0bThree\x0bFour\x0bFive", "Acme coo\u212aies", "Acme coo\u212aie", "Soft\u00e9 seed", "Team\r\nof ours", "Ann Fund\u00e9", "\u00e9seed round.", "Press \u2028 kit"]
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    con = duckdb.connect()
+    con.execute("create table t (i int, v varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(names)))
+    end = [r[0] for r in con.execute(f"select regexp_matches(trim(v), {q(gates.ENTITY_END)}) or regexp_matches(v, {q(gates.ENTITY_WORD)}) from t order by i").fetchall()]
+    assert column(spark, names, gates.entity_name) == end and end[:2] == [True, True]
+    for p in (*gates.NO_COMPANY_NAME, gates.FIRM_WORDS, gates.INSTITUTION, gates.HONORIFIC, gates.PARTICLE, gates.NAME_WORD, r"\s+", r"^.+$", r"[.!?]$"):
+        want = [r[0] for r in con.execute(f"select regexp_matches(v, {q(p)}) from t order by i").fetchall()]
+        assert column(spark, names, lambda c, p=p: c.rlike(text.re2(p))) == want, p
+
+
 def test_places(spark):
     places = {"Singapore": (True, True), "Remote": (False, False), "Remote - Singapore": (True, True), "Austin, TX": (False, False), "London": (True, False), "": (False, False), None: (False, False)}
     got = list(zip(column(spark, list(places), gates.abroad), column(spark, list(places), gates.in_apac), strict=True))
