@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlens.functions.derive import industry_route
@@ -22,11 +22,23 @@ RUNS = 5
     qualify row_number() over (partition by user_id, event_type order by run, ts, event_id) = 1""")
 def first_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that came in several runs, of which two were sent again: each key once, with the run that had it first."""
-    events = read(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", F.pmod(F.unix_date(F.to_date("ts")), F.lit(RUNS)).cast("long").alias("run"))
+    return _first_over_runs(read(spark, sf_dir, "events"))
+
+
+def _run_of(ts: Column) -> Column:
+    """The run of a time, as the SQL has it: seconds are rounded, half to even, so the last half second of a day is the next day's; days before 1970 are cut towards zero."""
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
+    return F.call_function("div", F.rint(F.unix_date(F.to_date(ts)) * F.lit(86_400.0) + clock).cast("long"), F.lit(86_400).cast("long")) % RUNS
+
+
+def _first_over_runs(events: DataFrame) -> DataFrame:
+    spark = events.sparkSession
+    events = events.select("user_id", "event_type", "ts", "event_id", _run_of(F.col("ts")).alias("run")).withColumn("batch", F.coalesce("run", F.lit(RUNS)))
+    runs = sorted({*range(RUNS), *(r.batch for r in events.select("batch").distinct().collect())})  # at most 2 * RUNS; events without a time come last
     seen, out = shared_folder(spark, "seen"), shared_folder(spark, "first")
-    for run in (0, 1, 1, *range(2, RUNS), 2):  # a run that is sent again replaces what it gave before
-        new = append_unseen(events.where(F.col("run") == run), ["user_id", "event_type"], ["ts", "event_id"], seen, run, buckets=8)
-        new.withColumn("_run", F.col("run")).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("_run").parquet(out)
+    for run in (*(r for r in runs if r < 2), *(r for r in runs if r >= 1), 2):  # a run that is sent again replaces what it gave before
+        new = append_unseen(events.where(F.col("batch") == run).drop("batch"), ["user_id", "event_type"], ["ts", "event_id"], seen, run, buckets=8)
+        new.withColumn("_run", F.lit(run)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("_run").parquet(out)
     return spark.read.parquet(out).select("user_id", "event_type", F.col("run").cast("long").alias("run"), "event_id")
 
 

@@ -3,11 +3,13 @@
 import random
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from harborlens.operators import outputs, pages, schema_merge, windows
 from harborlens.operators.queues import discovery_candidates
+from harborlens.plans import catalogue
 from harborlens.sources import boards, registry
 from harborlens.streaming import state, weekly
 
@@ -38,6 +40,18 @@ def test_keys_are_seen_once_for_all_time(spark, tmp_path):
     assert outputs.append_unseen(spark.range(400, 600).select(F.col("id").cast("string").alias("k"), "id"), ["k"], ["id"], seen, 5, bits=64).count() == 100
 
 
+def test_runs_are_those_of_the_sql(spark, tmp_path):
+    """Times in the last half second of a day, before 1970, and none."""
+    at = ["2024-01-01 23:59:59.499999", "2024-01-01 23:59:59.5", "2024-01-02 00:00:00.5", "2024-01-01 23:59:58.5", "1969-12-20 10:00:00", "1969-12-31 23:59:59.7", "1969-12-30 00:00:00.5", "1969-12-29 23:59:59.5", None]
+    rows = [(i, u, "view", t) for i, (u, t) in enumerate([*enumerate(at), *((99, t) for t in at), (98, None), (98, "2024-01-03 23:59:59.75"), (98, "2024-01-03 01:00:00")])]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t string").select("event_id", "user_id", "event_type", F.col("t").cast("timestamp_ntz").alias("ts"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLES["first_over_runs"]).fetchall()
+    assert sorted(map(str, map(tuple, catalogue.QUERIES["first_over_runs"](spark, str(tmp_path)).collect()))) == sorted(map(str, want)) and len(want) == len(at) + 2
+
+
 MEASURES = {"n": ("count", "1"), "total": ("sum", "v"), "top": ("max", "v")}
 HOW = {k: how for k, (how, _) in MEASURES.items()}
 
