@@ -38,3 +38,11 @@ def test_edges_of_real_ids(spark):
     assert {tuple(r) for r in q["supplier_edges"](spark, sf).collect()} == want
     degree = Counter(x for e in want for x in e)
     assert {r.node: r.degree for r in q["supplier_degrees"](spark, sf).collect()} == degree
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """Joins of two sides that grow with the input, as duplicates and merges make them, send neither through the driver; the list of hot keys alone is."""
+    q = entry.queries()
+    for name in ("org_duplicates", "surviving_customers", "merged_companies", "merged_schema"):
+        joins = [line for line in plan(q[name](spark, SF)).split("\n") if "BroadcastHashJoin" in line]
+        assert not joins or name == "org_duplicates" and all("LeftOuter" in line for line in joins), (name, joins)
