@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.operators.cluster import label_components
+from harborlens.operators.shared import shuffled
 
 
 def survivors(merges: DataFrame) -> DataFrame:
@@ -20,9 +21,9 @@ def survivors(merges: DataFrame) -> DataFrame:
     ids = m.select(F.col("drop_id").alias("id")).unionByName(m.select(F.col("keep_id").alias("id"))).distinct()
     parts = label_components(ids, m.select(F.col("drop_id").alias("left_id"), F.col("keep_id").alias("right_id")), "id")
     # Each id goes one way at most, so a component has one id that goes nowhere, or else a circle.
-    parts = parts.join(m.select(F.col("drop_id").alias("_goes")), F.col("id") == F.col("_goes"), "left")
+    parts = parts.join(shuffled(m.select(F.col("drop_id").alias("_goes"))), F.col("id") == F.col("_goes"), "left")
     ends = parts.groupBy("cluster_id").agg(F.coalesce(F.min(F.when(F.col("_goes").isNull(), F.col("id"))), F.col("cluster_id")).alias("keep_id"))
-    return parts.join(ends, "cluster_id").where("id <> keep_id").select("id", "keep_id")
+    return parts.join(shuffled(ends), "cluster_id").where("id <> keep_id").select("id", "keep_id")
 
 
 def repointed(child: DataFrame, column: str, gone: DataFrame, unique: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +32,7 @@ def repointed(child: DataFrame, column: str, gone: DataFrame, unique: Sequence[s
     With a unique key, of rows that come to have the same key one stays: one that needn't move, else the one whose old id and then whose
     values are smallest. As in a unique index, keys with a null never clash.
     """
-    moved = child.join(gone.select(F.col("id").alias("_gone"), F.col("keep_id").alias("_keep")), F.col(column) == F.col("_gone"), "left")
+    moved = child.join(shuffled(gone.select(F.col("id").alias("_gone"), F.col("keep_id").alias("_keep"))), F.col(column) == F.col("_gone"), "left")
     moved = moved.withColumn(column, F.coalesce("_keep", column))
     if not unique:
         return moved.select(child.columns)
@@ -48,8 +49,8 @@ def merged_entities(rows: DataFrame, id_col: str, gone: DataFrame, fill: Sequenc
     """The rows that survive, their empty ``fill`` columns filled from those that go (the smallest id that has one), and their ``aliases`` (an array) joined by the names
     and aliases of these, in order, without their own name. A merge into an id that has no row is none."""
     own = rows.select(F.col(id_col).alias("_own"))
-    gone = gone.join(own, F.col("keep_id") == F.col("_own"), "left_semi")
-    all_of = rows.join(gone.select(F.col("id").alias("_gone"), F.col("keep_id").alias("_keep")), F.col(id_col) == F.col("_gone"), "left")
+    gone = gone.join(shuffled(own), F.col("keep_id") == F.col("_own"), "left_semi")
+    all_of = rows.join(shuffled(gone.select(F.col("id").alias("_gone"), F.col("keep_id").alias("_keep"))), F.col(id_col) == F.col("_gone"), "left")
     goes, root = F.col("_keep").isNotNull(), F.coalesce("_keep", id_col)
     given = lambda c: F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.struct(goes.alias("g"), F.col(id_col).alias("i"), F.col(c).alias("v")))
     names = F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
