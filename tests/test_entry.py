@@ -46,3 +46,10 @@ def test_what_grows_is_not_broadcast(spark):
     for name in ("org_duplicates", "surviving_customers", "merged_companies", "merged_schema"):
         joins = [line for line in plan(q[name](spark, SF)).split("\n") if "BroadcastHashJoin" in line]
         assert not joins or name == "org_duplicates" and all("LeftOuter" in line for line in joins), (name, joins)
+
+
+def test_pairs_that_share_an_element_stay_where_they_are_made(spark):
+    """No row pair is shuffled or made distinct afterwards: nothing but the join of the classes is on the way to them."""
+    for name in ("sector_context", "sector_context_all"):
+        made = plan(entry.queries()[name](spark, SF))
+        assert "Aggregate" not in made.split("Join")[0], name
