@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from harborlens.functions.filters import source_authority
-from harborlens.operators import cluster, shared
+from harborlens.operators import cluster, graph, shared
+from harborlens.plans import catalogue
 
 NAMES = ["item_id", "title", "company_id", "signal_type", "published_at"]
 SCHEMA = "item_id long, title string, company_id string, source string, signal_type string, published_at timestamp, status string"
@@ -120,3 +121,18 @@ def test_hot_hubs_are_dealt(spark):
     assert got.count() == 100 * 99 and got.select("degree").distinct().collect()[0][0] == 10_000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("_part") > 4 and "CartesianProduct" not in plan
+
+
+def test_links_over_hubs_are_those_of_all_paths(spark):
+    """Lists of a hub's ends in place of pairs: the same links, whether hubs and sources are cut or not, and pairs aren't shuffled."""
+    rng = random.Random(8)
+    e = spark.createDataFrame([(rng.choice([None, *range(12)]), rng.choice([None, *range(30)])) for _ in range(400)], "h long, c long")
+    p = graph.shared_hub_paths(e, "h", "c").groupBy("source", "target").agg(F.count(F.lit(1)), F.min("degree"))
+    want = {tuple(r) for r in p.collect()}
+    for given in ({}, {"most": 5}, {"hubs_of_end": 3}, {"most": 3, "hubs_of_end": 2}):
+        got = [tuple(r) for r in graph.shared_hub_links(e, "h", "c", **given).collect()]
+        assert set(got) == want and len(got) == len(want), given
+        rising = [tuple(r) for r in graph.shared_hub_links(e, "h", "c", rising=True, **given).collect()]
+        assert sorted(rising) == sorted(x for x in want if x[0] < x[1]), given
+    plan = catalogue.QUERIES["shared_hub_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate")[0]
