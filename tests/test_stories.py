@@ -98,6 +98,16 @@ def test_long_chains_settle(spark):
     assert {r.i: r.cluster_id for r in cluster.greedy_clusters(spark.createDataFrame([(1,), (5,), (7,), (9,)], "i long"), down, "i").collect()} == {1: 1, 5: 5, 7: 5, 9: 1}
 
 
+def test_headlines_of_stories_meet_in_cells(spark, monkeypatch):
+    """Trigrams, of which nearly any two headlines share rare ones, make no candidates by prefixes; key terms do."""
+    rows, df = stories(spark, 40, 6)
+    sought = []
+    told = cluster.jaccard_candidates
+    monkeypatch.setattr(cluster, "jaccard_candidates", lambda sets, i, c, *a, **k: sought.append(c) or told(sets, i, c, *a, **k))
+    cluster.story_ways(df, "item_id", "title", "company_id", "signal_type", "published_at")
+    assert set(sought) == {"_terms"}
+
+
 def test_copies_of_a_headline_are_one_node(spark, tmp_path, monkeypatch):
     """Components are of distinct headlines: 100 copies give no pair of each two of them."""
     rows = [(i, "Acme opens a plant in Singapore\nmore" if i < 100 else "ACME opens a plant in Singapore!!" if i == 100 else "Acme opens plants in Singapore" if i < 103 else "", "s", "en") for i in range(5, 106)]
