@@ -11,6 +11,7 @@ from harborlens.functions.dates import week_of
 from harborlens.functions.filters import blocked_domain, blocked_source, junk_reason, mentions
 from harborlens.functions.gates import recency_reason
 from harborlens.operators.reports import contacts
+from harborlens.operators.shared import spread
 
 
 def weeks_of_items(items: DataFrame, late_days: int = 5) -> DataFrame:
@@ -109,7 +110,8 @@ def matching_propositions(companies: DataFrame, propositions: DataFrame, everywh
 
     Both sides are joined on the single sector, each pair told once; a company without a sector gets those for every sector.
     """
-    asked = companies.select("company_id", F.explode(F.array_union(F.coalesce("axes", F.array().cast("array<string>")), F.array(F.lit(everywhere)))).alias("sector"))
+    # Dealt by company, so that no task holds the pairs of all of them to tell each once.
+    asked = spread(companies, ["company_id"]).select("company_id", F.explode(F.array_union(F.coalesce("axes", F.array().cast("array<string>")), F.array(F.lit(everywhere)))).alias("sector"))
     held = propositions.select("proposition_id", F.explode(F.array_distinct("sectors")).alias("sector"))
     return asked.join(held, "sector").select("company_id", "proposition_id").distinct()
 

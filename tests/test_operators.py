@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from harborlens.operators import cluster, graph, latest, placement, resolve
+from harborlens.operators import cluster, graph, latest, placement, resolve, shared
 from harborlens.plans import catalogue
 from harborlens.sources import feeds
 from harborlens.sources.boards import board_jobs
@@ -81,6 +81,14 @@ def test_sets_of_common_elements_meet_in_cells(spark):
     assert "array_intersect" not in made
 
 
+def test_rows_of_a_small_file_are_dealt(spark):
+    """What is made of the rows of a small file, and held to tell pairs once, is made in as many tasks as there are rows for."""
+    dealt = shared.spread(spark.range(10_000), ["id"], 1_000)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.distinct().count() == 10_000
+    for name in ("proposition_menu", "portfolio_pages", "landing_stories", "guessed_sites"):
+        assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_clusters(spark):
     items = spark.createDataFrame([(i, "c", "") for i in range(1, 7)], "id long, company string, title string")
     pairs = spark.createDataFrame([(1, 3), (3, 2), (5, 6)], "left_id long, right_id long")
