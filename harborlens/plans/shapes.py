@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.functions import filters
+from harborlens.operators.shared import spread
 from harborlens.plans.registry import query, read
 from harborlens.sources import scans, sites
 
@@ -16,7 +17,7 @@ from harborlens.sources import scans, sites
     union all select 'Zephyr' || s_suppkey || 'x', 'zephyr' || s_suppkey || 'x.io', 'thin' from supplier where s_suppkey % 2 = 0""")
 def guessed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites found by guessing: brokers' pages, dead and empty ones, pages of others, names of one word, and those that are the company's."""
-    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    c, s = spread(read(spark, sf_dir, "customer"), ["c_custkey"], 20_000), spread(read(spark, sf_dir, "supplier"), ["s_suppkey"], 20_000)
     k = F.col("c_custkey")
     stem, long = F.concat(F.lit("rv"), k.cast("string"), F.lit("x")), F.concat(F.lit("rv"), k.cast("string"), F.lit("x builds plants. "))
     page = lambda domain, title, description, text: F.struct(domain.alias("domain"), F.lit(title).alias("title"), F.lit(description).cast("string").alias("description"), text.alias("text"))
