@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlens.functions import derive, gates
+from harborlens.operators.shared import spread
 from harborlens.plans.registry import query, read
 from harborlens.sources import scans
 
@@ -51,7 +52,7 @@ HOME = """concat('<a class=x href="https://tldr.tech/own">a story on our own pag
     union all select p_partkey, 'short one an advert that is long enough', 'https://c.com/' from part""")
 def landing_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories that landing pages link to elsewhere, each once."""
-    return scans.newsletter_home(read(spark, sf_dir, "part").select("p_partkey", F.expr(HOME).alias("html")), "html", "p_partkey", "tldr.tech").select("p_partkey", "title", "url")
+    return scans.newsletter_home(spread(read(spark, sf_dir, "part"), ["p_partkey"], 20_000).select("p_partkey", F.expr(HOME).alias("html")), "html", "p_partkey", "tldr.tech").select("p_partkey", "title", "url")
 
 
 FRONT = """concat('<a href="/venture-capital-funding/', cast(c_custkey as varchar(9)), '"><h5>', c_name, ' raises &amp; grows</h5></a><span class="posted-date"> May ', cast(1 + c_custkey % 28 as varchar(2)), ', 2026 </span><p class="article-paragraph">A <b>', lower(c_mktsegment), '</b> firm.</p>',
@@ -73,7 +74,7 @@ PORTFOLIO = """concat('<nav><a href="/a">About</a><a href="/t">Team</a></nav><di
     select c_custkey, 'cards' as strategy, case when c_custkey % 3 <> 0 then c_name || ',Nimbus ' || c_custkey || ',Acme & Co' else '' end as names, case when c_custkey % 3 = 0 then 7 else 0 end as rejected, 'nimbus' || c_custkey || '.com' as domain from customer""")
 def portfolio_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies that portfolio pages list, unless they read as navigation, and the site of one."""
-    p = read(spark, sf_dir, "customer").select("c_custkey", F.lit("https://www.fund.com/p").alias("url"), F.expr(PORTFOLIO).alias("html"))
+    p = spread(read(spark, sf_dir, "customer"), ["c_custkey"], 20_000).select("c_custkey", F.lit("https://www.fund.com/p").alias("url"), F.expr(PORTFOLIO).alias("html"))
     names = scans.portfolio_names(p, "html", "c_custkey").select("c_custkey", "strategy", F.array_join("names", ",").alias("names"), "rejected")
     return names.join(scans.portfolio_domains(p, "html", "url", "c_custkey").select("c_custkey", "domain"), "c_custkey")
 
