@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from harborlens.functions.derive import industry_route
 from harborlens.operators.outputs import append_batch, append_unseen, read_batches, read_route, routed_write
 from harborlens.operators.schema_merge import merge_schema, merged_entities, survivors
-from harborlens.operators.shared import shared_folder
-from harborlens.operators.windows import daily_panes, slides, window_as_of
+from harborlens.operators.shared import parts_for, shared_folder
+from harborlens.operators.windows import ROWS, daily_panes, slides, window_as_of
 from harborlens.plans.gates import _ROUTES, INDUSTRY
 from harborlens.plans.registry import query, read
 from harborlens.streaming import state, weekly
@@ -57,7 +57,7 @@ def _panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from points p left join panes n on n.l_suppkey = p.l_suppkey and n.day > p.day - 30 and n.day <= p.day group by 1, 2""")
 def sliding_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's last 30 days, on every day on which they change."""
-    return slides(_panes(spark, sf_dir), ["l_suppkey"], _HOW)
+    return slides(_panes(spark, sf_dir), ["l_suppkey"], _HOW, parts=parts_for(read(spark, sf_dir, "lineitem"), ROWS))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """State over runs: keys for all time, panes and slides, merges, routed and appended writes, shards, boards, pages."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import duckdb
@@ -71,6 +72,17 @@ def test_slides(spark):
     assert now == {k: sum(v for x, d, v in rows if x == k and d and asof - timedelta(days=7) < d <= asof) for k in {x for x, d, _ in rows if d and asof - timedelta(days=7) < d <= asof}}
 
 
+def test_panes_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(windows, "ROWS", 10)
+    rows = spark.createDataFrame([(i % 7, datetime(2024, 1, 1) + timedelta(hours=i), i) for i in range(200)], "k long, ts timestamp, v long")
+    panes = windows.daily_panes(rows, ["k"], "ts", MEASURES)
+    slid = windows.slides(panes, ["k"], HOW, 7, parts=20)
+    plan = slid._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((.*), (\d+)\), REPARTITION_BY_NUM", plan) and plan.count("Exchange") == 2  # by pane, then by key; both in numbers that grow with the rows
+    assert sorted(int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan)) == [20, 20]
+    assert slid.where("panes > 0").agg(F.sum("n")).first()[0] == sum(r.n for r in windows.slides(panes, ["k"], HOW, 7).collect())
+
+
 def test_panes_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     rng, src, out = random.Random(5), str(tmp_path / "src"), str(tmp_path / "panes")
     schema = "k string, ts timestamp, v long"
