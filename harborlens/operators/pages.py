@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlens.operators.shared import parts_for, shuffled
+
 
 @dataclass(frozen=True)
 class Part:
     """A kind of child rows that a page lists: rows with the entity's key, the columns shown, and up to three numbers and a string to sort by (ascending, null
-    last; the last of them must tell rows apart). ``most`` is how many a page shows."""
+    last; the last of them must tell rows apart). ``most`` is how many a page shows; ``counted`` are all rows, where ``rows`` are no more than those shown."""
 
     name: str
     rows: DataFrame
@@ -20,12 +22,16 @@ class Part:
     numbers: Sequence[Column]
     then: Column | None = None
     most: int = 400
+    counted: DataFrame | None = None
 
-    def tagged(self, key: str) -> DataFrame:
-        numbers = [*self.numbers, *[F.lit(0.0)] * (3 - len(self.numbers))]
-        last = F.lit("") if self.then is None else F.coalesce(self.then.cast("string"), F.lit(""))
-        order = F.struct(*(F.coalesce(n.cast("double"), F.lit(float("inf"))).alias(f"n{i}") for i, n in enumerate(numbers)), last.alias("s"))
-        return self.rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.lit(self.name).alias("_kind"), order.alias("_order"), F.struct(*self.fields).alias(self.name))
+    def listed(self, key: str) -> DataFrame:
+        """(_key, <name>): the rows that a page shows, as one array. No task sends more than ``most`` rows of a key to the window that numbers them."""
+        numbers = {f"_n{i}": F.coalesce(n.cast("double"), F.lit(float("inf"))) for i, n in enumerate(self.numbers)}
+        order = numbers if self.then is None else numbers | {"_s": F.coalesce(self.then.cast("string"), F.lit(""))}
+        own = F.when(F.spark_partition_id() >= 0, F.col(key)).alias("_key")  # a constant key would be folded away, and with it the cut in each task
+        rows = self.rows.where(F.col(key).isNotNull()).select(own, *(c.alias(n) for n, c in order.items()), F.struct(*self.fields).alias("_row"))
+        shown = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where(F.col("_n") <= self.most)
+        return shown.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_row"))), lambda x: x["_row"]).alias(self.name))
 
 
 def newest_first(time: Column) -> Column:
@@ -36,20 +42,24 @@ def newest_first(time: Column) -> Column:
 def bundles(entities: DataFrame, key: str, parts: Sequence[Part]) -> DataFrame:
     """``entities`` (one row per key) with an array of structs for each part, in its order, and ``n_<part>``: how many rows there are in all.
 
-    All children travel as one tagged relation, not as a join for each kind. No task sends more than ``most`` rows of a kind and key
-    to the window that numbers them, so a key that holds a third of all rows is cut down before the shuffle.
+    The rows of each part are cut to what a page shows before they are shuffled by key, so a key that holds a third of all rows is no task's own. They become arrays where they
+    are numbered, in a part's own columns; all arrays of a key then travel as one relation, not as a join for each kind. Rows are counted apart, by key alone.
     """
-    tagged = parts[0].tagged(key)
-    for p in parts[1:]:
-        tagged = tagged.unionByName(p.tagged(key), allowMissingColumns=True)
-    most = F.create_map(*(F.lit(x) for p in parts for x in (p.name, p.most)))
-    n = F.row_number().over(Window.partitionBy("_key", "_kind").orderBy("_order"))
-    shown = tagged.withColumn("_n", n).where(F.col("_n") <= max(p.most for p in parts)).where(F.col("_n") <= most[F.col("_kind")])
-    listed = lambda p: F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == p.name, F.struct("_n", p.name)))), lambda x: x[p.name])
-    nested = shown.groupBy("_key").agg(*(listed(p).alias(p.name) for p in parts))
+    tagged = None
+    for p in parts:
+        kind = (p.rows if p.counted is None else p.counted).where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.lit(p.name).alias("_kind"))
+        tagged = kind if tagged is None else tagged.unionByName(kind)
     counts = tagged.groupBy("_key").agg(*(F.count_if(F.col("_kind") == p.name).alias(f"n_{p.name}") for p in parts))
-    met = entities.join(nested.join(counts, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
-    filled = {p.name: F.coalesce(p.name, F.array().cast(nested.schema[p.name].dataType)) for p in parts}
+    listed = [p.listed(key) for p in parts]
+    kinds = {p.name: x.schema[p.name].dataType for p, x in zip(parts, listed, strict=True)}
+    arrays = listed[0]
+    for x in listed[1:]:
+        arrays = arrays.unionByName(x, allowMissingColumns=True)
+    n = parts_for(entities, 50_000)
+    nested = arrays.repartition(n, "_key").groupBy("_key").agg(*(F.first(name, ignorenulls=True).alias(name) for name in kinds))
+    met = entities.repartition(n, key).join(shuffled(nested), F.col(key) == F.col("_key"), "left").drop("_key")  # all three are dealt alike, so arrays aren't shuffled again
+    met = met.join(shuffled(counts.repartition(n, "_key")), F.col(key) == F.col("_key"), "left").drop("_key")
+    filled = {n: F.coalesce(n, F.array().cast(kind)) for n, kind in kinds.items()}
     return met.withColumns(filled | {f"n_{p.name}": F.coalesce(f"n_{p.name}", F.lit(0)) for p in parts})
 
 

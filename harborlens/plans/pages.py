@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlens.operators.pages import Part, bundles, investor_rounds, latest_scores, newest_first, queue_sizes, related_items, sibling_context, sliding_rates
+from harborlens.operators.shared import spread, written
 from harborlens.plans.registry import query, read
 
 _LINES_SQL = """lines as (select *, epoch(l_shipdate)::bigint // 86400 as day from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey),
@@ -32,10 +33,17 @@ def _told(page: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order's customer and their part's brand, joined and written once: a page's parts read them several times."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")  # noqa: E741
-    return l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("long"))
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")  # noqa: E741
+    l = l.withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("long")).drop("l_shipdate")  # noqa: E741
+    return written(l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).drop("o_orderkey", "p_partkey"), "lines")
+
+
+def _grouped(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines dealt by the keys by which they are grouped next, into parts by their number: nearly each is a group of its own, so grouping before the shuffle would hold nearly all of a task's."""
+    return spread(lines, keys, 250_000)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +58,13 @@ def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def _investments(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("o_custkey").alias("company_id"), F.col("p_brand").alias("org"), F.col("l_returnflag").alias("round"), (F.col("l_linenumber") == 1).alias("is_lead"), F.col("day").alias("announced"))
+    return _grouped(lines.select("o_custkey", "p_brand", "l_returnflag", "l_linenumber", "day"), ["o_custkey", "p_brand"]).select(F.col("o_custkey").alias("company_id"), F.col("p_brand").alias("org"), F.col("l_returnflag").alias("round"), (F.col("l_linenumber") == 1).alias("is_lead"), F.col("day").alias("announced"))
+
+
+def _roles(lines: DataFrame) -> DataFrame:
+    """A row for each customer and supplier."""
+    pairs = _grouped(lines.select("o_custkey", "l_suppkey", "l_returnflag", "day"), ["o_custkey", "l_suppkey"])
+    return pairs.groupBy("o_custkey", "l_suppkey").agg(F.max("l_returnflag").alias("role"), F.max("day").alias("seen"))
 
 
 _SNAPSHOTS = [_part_sql(n, "user_id", f"select * from events where event_type = '{kind}'", "ts desc, event_id", "event_id::varchar", most) for n, kind, most in (("links", "signup", 400), ("assessment", "purchase", 1), ("jobs", "click", 2))]
@@ -70,12 +84,13 @@ _COMPANY = ["people", "investors", "filings", "links", "assessment", "items", "j
 def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every company's page: people, investors, filings, links, assessment, items, job snapshots and postings."""
     lines, orders = _lines(spark, sf_dir), read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "company_id")
-    people = lines.groupBy(F.col("o_custkey").alias("company_id"), "l_suppkey").agg(F.max("l_returnflag").alias("role"), F.max("day").alias("seen"))
+    people = written(_roles(lines).withColumnRenamed("o_custkey", "company_id"), "people")
+    held = written(investor_rounds(_investments(lines), "company_id", "org", ["N"]), "held")
     snapshot = lambda name, kind, most: Part(name, _events(spark, sf_dir, kind), ["event_id"], [newest_first(F.col("ts")), F.col("event_id")], None, most)
     postings = lines.where(F.col("l_returnflag").isin("A", "R")).withColumnRenamed("o_custkey", "company_id")
     page = bundles(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id")), "company_id", [
         Part("people", people, ["l_suppkey", "role", "seen"], [-F.col("seen")], F.col("l_suppkey")),
-        Part("investors", investor_rounds(_investments(lines), "company_id", "org", ["N"]), ["org", "is_lead", "rounds", "announced", "round_names"], [-F.col("is_lead").cast("int")], F.col("org")),
+        Part("investors", held, ["org", "is_lead", "rounds", "announced", "round_names"], [-F.col("is_lead").cast("int")], F.col("org")),
         Part("filings", orders.where("o_orderstatus = 'F'"), ["o_orderkey", "o_orderpriority"], [newest_first(F.col("o_orderdate")), F.col("o_orderkey")]),
         snapshot("links", "signup", 400), snapshot("assessment", "purchase", 1),
         Part("items", _items(spark, sf_dir).where("o_orderstatus <> 'F'"), ["item_id", "score"], [-F.col("score"), newest_first(F.col("o_orderdate")), F.col("item_id")], None, 8),
@@ -93,11 +108,12 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def person_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every person's page: roles, affiliations, and companies with a link."""
     lines = _lines(spark, sf_dir)
-    roles = lines.groupBy("l_suppkey", "o_custkey").agg(F.max("l_returnflag").alias("role"), F.max("day").alias("seen"))
+    roles = written(_roles(lines), "roles")
+    affiliations = _grouped(lines.select("l_suppkey", "p_brand", "l_linestatus"), ["l_suppkey", "p_brand"]).groupBy("l_suppkey", "p_brand").agg(F.max("l_linestatus").alias("role"))
     linked = roles.join(_events(spark, sf_dir, "signup").select(F.col("company_id").alias("o_custkey")).distinct(), "o_custkey", "left_semi")
     page = bundles(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", [
         Part("roles", roles, ["o_custkey", "role", "seen"], [-F.col("seen"), F.col("o_custkey")]),
-        Part("affiliations", lines.groupBy("l_suppkey", "p_brand").agg(F.max("l_linestatus").alias("role")), ["p_brand", "role"], [], F.col("p_brand")),
+        Part("affiliations", affiliations, ["p_brand", "role"], [], F.col("p_brand")),
         Part("linked", linked, ["o_custkey"], [F.col("o_custkey")]),
     ])
     return _told(page, "l_suppkey", ["roles", "affiliations", "linked"]).withColumnRenamed("l_suppkey", "s_suppkey")
@@ -118,14 +134,17 @@ def org_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     linked = _events(spark, sf_dir, "signup").select(F.col("company_id").alias("_c")).distinct()
     signal = _items(spark, sf_dir).groupBy(F.col("company_id").alias("_s")).agg(F.max("score").alias("signal"))
-    held = investor_rounds(_investments(lines), "company_id", "org", ["N"]).join(linked, F.col("company_id") == F.col("_c"), "left").join(signal, F.col("company_id") == F.col("_s"), "left")
-    held = held.withColumns({"linked": F.col("_c").isNotNull(), "p_brand": F.col("org")})
-    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    sectors = lines.select("p_brand", "o_custkey").distinct().join(customer, "o_custkey").groupBy("p_brand", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    held = written(investor_rounds(_investments(lines), "company_id", "org", ["N"]).withColumnRenamed("org", "p_brand"), "held")
+    # What is known of a company is joined to the companies that are shown.
+    first = held.withColumn("_at", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.asc_nulls_last("company_id")))).where("_at <= 400")
+    shown = first.join(linked, F.col("company_id") == F.col("_c"), "left").join(signal, F.col("company_id") == F.col("_s"), "left").withColumn("linked", F.col("_c").isNotNull())
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), "c_mktsegment")
+    sectors = held.select("p_brand", "company_id").join(customer, "company_id").groupBy("p_brand", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    people = _grouped(lines.select("p_brand", "l_suppkey", "l_linestatus"), ["p_brand", "l_suppkey"]).groupBy("p_brand", "l_suppkey").agg(F.max("l_linestatus").alias("role"))
     stages = lines.withColumn("stage", F.expr(_STAGE)).where("stage is not null").groupBy("p_brand", "stage").agg(F.count(F.lit(1)).alias("n"))
     page = bundles(read(spark, sf_dir, "part").select("p_brand").distinct(), "p_brand", [
-        Part("portfolio", held, ["company_id", "is_lead", "announced", "latest_round", "linked", "signal"], [F.col("company_id")]),
-        Part("people", lines.groupBy("p_brand", "l_suppkey").agg(F.max("l_linestatus").alias("role")), ["l_suppkey", "role"], [F.col("l_suppkey")]),
+        Part("portfolio", shown, ["company_id", "is_lead", "announced", "latest_round", "linked", "signal"], [F.col("company_id")], counted=held),
+        Part("people", people, ["l_suppkey", "role"], [F.col("l_suppkey")]),
         Part("sectors", sectors, ["c_mktsegment", "n"], [-F.col("n")], F.col("c_mktsegment"), 5),
         Part("stages", stages, ["stage", "n"], [-F.col("n")], F.col("stage")),
     ])

@@ -175,6 +175,15 @@ def test_discovery(spark):
     assert [(r.name, r.item_id, r.amount) for r in got] == [("ACME", 2, 6e6)]
 
 
+def test_page_parts_are_shuffled_in_their_own_columns(spark):
+    rows = spark.range(100).select((F.col("id") % 5).alias("k"), F.col("id").alias("n"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("name"))
+    got = pages.bundles(spark.range(5).withColumnRenamed("id", "k"), "k", [pages.Part("a", rows, ["n"], [-F.col("n")], None, 3), pages.Part("b", rows.where("n < 2"), ["name"], [F.col("n")], counted=rows)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows_of = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows_of) == 2 and not any("_kind" in line for line in windows_of)  # no part carries the columns of another
+    assert {(r.k, tuple(x.n for x in r.a), tuple(x.name for x in r.b), r.n_a, r.n_b) for r in got.collect()} == {(k, (95 + k, 90 + k, 85 + k), (f"x{k}",) if k < 2 else (), 20, 20) for k in range(5)}
+
+
 def test_pages_show_so_many_and_count_all(spark):
     rows = spark.range(1_000).select(F.lit(1).alias("k"), F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("o"))
     got = pages.bundles(spark.createDataFrame([(1,), (2,)], "k int"), "k", [pages.Part("a", rows, ["n"], [F.col("o"), -F.col("n")], None, 3), pages.Part("b", rows.where("n < 2"), ["n"], [F.col("n")])])
