@@ -184,6 +184,12 @@ def test_page_parts_are_shuffled_in_their_own_columns(spark):
     assert {(r.k, tuple(x.n for x in r.a), tuple(x.name for x in r.b), r.n_a, r.n_b) for r in got.collect()} == {(k, (95 + k, 90 + k, 85 + k), (f"x{k}",) if k < 2 else (), 20, 20) for k in range(5)}
 
 
+@pytest.mark.parametrize("name", ["person_pages", "org_pages"])
+def test_lines_of_pages_are_joined_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey" not in plan  # parts of a page read the joined lines as files, not the join
+
+
 def test_pages_show_so_many_and_count_all(spark):
     rows = spark.range(1_000).select(F.lit(1).alias("k"), F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("o"))
     got = pages.bundles(spark.createDataFrame([(1,), (2,)], "k int"), "k", [pages.Part("a", rows, ["n"], [F.col("o"), -F.col("n")], None, 3), pages.Part("b", rows.where("n < 2"), ["n"], [F.col("n")])])
