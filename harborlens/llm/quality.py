@@ -223,6 +223,23 @@ def fit_scorer(row: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.
     return w / scale, bias
 
 
+def _tells(held, elsewhere, n_bad: int, n_good: int, least: int = 3, ratio: float = 20.0):  # noqa: ANN001, ANN202
+    """Whether terms, held by so many bad texts and by so many others, tell these apart; numbers or arrays of them."""
+    return (held >= least) & (held / max(1, n_bad) >= ratio * (elsewhere / max(1, n_good)))
+
+
+def telling_terms(terms: pa.ListArray, bad: np.ndarray) -> list[set[str]]:
+    """Of each row's distinct terms those from which ``fit_lexicon`` chooses. Terms are counted by their numbers; no others become Python objects."""
+    words = terms.flatten().dictionary_encode()
+    at, row = words.indices.to_numpy(), np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(terms.offsets.to_numpy()))
+    held, elsewhere = (np.bincount(at[side[row]], minlength=len(words.dictionary)) for side in (bad, ~bad))
+    kept = _tells(held, elsewhere, int(bad.sum()), int((~bad).sum()))[at]
+    found = [set() for _ in range(len(terms))]
+    for r, t in zip(row[kept].tolist(), words.dictionary.take(pa.array(at[kept])).to_pylist(), strict=True):
+        found[r].add(t)
+    return found
+
+
 def fit_lexicon(terms: list[set[str]], bad: list[bool], least: int = 3, ratio: float = 20.0) -> list[str]:
     """Terms that explain the bad texts: greedily, the term that most of the texts not yet explained hold.
 
@@ -232,8 +249,7 @@ def fit_lexicon(terms: list[set[str]], bad: list[bool], least: int = 3, ratio: f
     held, elsewhere = Counter(), Counter()
     for t, b in zip(terms, bad, strict=True):
         (held if b else elsewhere).update(t)
-    n_bad, n_good = max(1, sum(bad)), max(1, len(bad) - sum(bad))
-    telling = {t for t, c in held.items() if c >= least and c / n_bad >= ratio * (elsewhere[t] / n_good)}
+    telling = {t for t, c in held.items() if _tells(c, elsewhere[t], sum(bad), len(bad) - sum(bad), least, ratio)}
     rest, found = [t & telling for t, b in zip(terms, bad, strict=True) if b], []
     while rest:
         counts = Counter(x for t in rest for x in t)
@@ -336,7 +352,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     ship_package(docs.sparkSession)
     found = texts.mapInArrow(run, "terms array<string>, toxic int").toArrow()
-    return fit_lexicon([set(t) for t in found["terms"].to_pylist()], [x == 1 for x in found["toxic"].to_pylist()])
+    bad = found["toxic"].to_numpy() == 1
+    return fit_lexicon(telling_terms(found["terms"].combine_chunks(), bad), bad.tolist())
 
 
 def fit_quality(

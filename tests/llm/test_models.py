@@ -4,8 +4,9 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from harborlens.llm.quality import fit_labels, fit_scorer
+from harborlens.llm.quality import fit_labels, fit_lexicon, fit_scorer, telling_terms
 
 
 def test_em_is_that_of_plain_loops():
@@ -62,3 +63,14 @@ def test_scorer_is_a_least_loss():
     for _ in range(200):
         assert loss(w + rng.normal(0, 0.05, features) / scale, bias + rng.normal(0, 0.05)) > best - 1e-5
     assert np.corrcoef(w, np.linspace(-4, 4, features))[0, 1] > 0.95
+
+
+def test_lexicon_needs_the_telling_terms_alone():
+    """Of texts as Arrow lists only telling terms become Python objects, and the lexicon is that of all terms."""
+    rng = random.Random(3)
+    bad = [rng.random() < 0.3 for _ in range(400)]
+    rows = [sorted({f"w{rng.randrange(300)}" for _ in range(40)} | ({f"bad{rng.randrange(4)}"} if b else set())) for b in bad]
+    told = telling_terms(pa.array([[], *rows], pa.list_(pa.string())).slice(1), np.array(bad))
+    assert fit_lexicon(told, bad) == fit_lexicon([set(r) for r in rows], bad)
+    assert set().union(*told) == {"bad0", "bad1", "bad2", "bad3"}
+    assert telling_terms(pa.array([], pa.list_(pa.string())), np.zeros(0, bool)) == []
