@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.operators.graph import both_ways, degree_coverage, degree_discount, edge_sentence
-from harborlens.operators.shared import pairs_of
+from harborlens.operators.shared import pairs_of, parts_for
 
 PATH_COLUMNS = ("company_id", "kind", "via_person", "via_org", "target_id", "score", "degree", "coverage", "told")
 
@@ -43,6 +43,39 @@ def person_paths(roles: DataFrame, links: DataFrame) -> DataFrame:
     return _rows(p, "person_role", company_id=F.col("company_id"), via_person=F.col("person_id"), target_id=F.col("other_id"), score=score, degree=F.col("degree"), told=told)
 
 
+def person_strengths(roles: DataFrame, links: DataFrame, most: int = 1_000, lists: int = 1 << 16, roles_of_company: int = 100_000, each: int = 250_000) -> DataFrame:
+    """``path_strengths`` of ``person_paths``, (company_id, n, targets, best, total), without shuffling a path: each role takes the list of its person's other companies along,
+    and what all of them score; lists become targets, to be told from others, where all of a company's are.
+
+    People are dealt into ``lists`` buckets by a hash. Those of a bucket of more roles than ``most`` and twice the usual have paths instead, dealt as in ``pairs_of``, so no list is
+    longer than that; a company of more than ``roles_of_company`` roles is cut into slices by target. Some ``each`` roles are a task's.
+    """
+    n, parts = F.count(F.lit(1)), parts_for(roles, each)
+    roles = roles.select("person_id", "company_id", F.pmod(F.xxhash64("person_id"), F.lit(lists)).alias("_bucket"))
+    heavy = roles.groupBy("_bucket").agg(n.alias("_n")).where(F.col("_n") > most + 2 * parts * each // lists).select("_bucket")
+    few = _linked(roles.join(F.broadcast(heavy), "_bucket", "left_anti").where("person_id is not null"), links, "company", "company_id", "linked")
+    held = few.select("person_id", F.struct("company_id", "linked").alias("_r")).repartition(parts, "person_id").groupBy("person_id")
+    held = held.agg(n.alias("_degree"), F.collect_list(F.when(F.col("_r.company_id").isNotNull(), F.col("_r"))).alias("_held"))
+    held = held.select("_held", "_degree", F.explode(F.array_distinct(F.col("_held.company_id"))).alias("company_id"))
+    held = held.withColumn("_others", F.filter("_held", lambda x: x["company_id"] != F.col("company_id")))
+    own, other, linked = F.size("_held") - F.size("_others"), F.size("_others"), F.size(F.filter("_others", lambda x: x["linked"]))
+    score = lambda base: F.lit(base) * degree_discount(F.col("_degree")) * 1.4
+    told = held.select(
+        "company_id", F.col("_others.company_id").alias("_targets"), (own * other).cast("long").alias("n"),
+        F.when(linked > 0, score(1.0)).when(other > 0, score(0.55)).alias("best"), (own * (linked * score(1.0) + (other - linked) * score(0.55))).alias("total"),
+    )
+    many = person_paths(roles.join(F.broadcast(heavy), "_bucket", "left_semi").withColumn("role", F.lit("")), links).groupBy("company_id", "target_id")
+    many = many.agg(n.alias("n"), F.max("score").alias("best"), F.sum("score").alias("total")).select("company_id", F.array("target_id").alias("_targets"), "n", "best", "total")
+    wide = roles.groupBy("company_id").agg((F.floor(n / roles_of_company) + 1).cast("int").alias("_slices")).where("_slices > 1").orderBy(F.desc("_slices"), "company_id").limit(10_000)
+    sent = told.unionByName(many).join(F.broadcast(wide), "company_id", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+    mine = F.filter("_targets", lambda x: F.pmod(F.xxhash64(x), F.col("_slices")) == F.col("_slice"))
+    sent = sent.withColumn("_targets", F.when(F.col("_slices").isNull(), F.col("_targets")).otherwise(mine)).drop("_slices").repartition(parts, "company_id", "_slice")
+    first = lambda c: F.when((F.col("_slice") == 0) & (F.coalesce("_at", F.lit(0)) == 0), F.col(c)).alias(c)
+    one = sent.select("company_id", "_slice", F.posexplode_outer("_targets").alias("_at", "_target"), "n", "best", "total").select("company_id", "_slice", "_target", first("n"), first("best"), first("total"))
+    sums = (F.sum("n").alias("n"), F.max("best").alias("best"), F.sum("total").alias("total"))
+    return one.groupBy("company_id", "_slice", "_target").agg(*sums).groupBy("company_id").agg(F.count("_target").alias("targets"), *sums).where("n > 0").select("company_id", "n", "targets", "best", "total")
+
+
 def fund_paths(investments: DataFrame, orgs: DataFrame, companies: DataFrame, links: DataFrame, engaged: tuple[str, ...]) -> DataFrame:
     """Over investments (org_id, company_id, scraped): companies with a fund in common, each pair once for a fund.
 
@@ -87,6 +120,11 @@ def warm_paths(*kinds: DataFrame) -> DataFrame:
     return out
 
 
+def path_strengths(paths: DataFrame) -> DataFrame:
+    """(company_id, kind, n, targets, best, total): of each company and kind how many paths, to how many others, their best score and the sum of all."""
+    return paths.groupBy("company_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_id").alias("targets"), F.max("score").alias("best"), F.sum("score").alias("total"))
+
+
 def companies_with_paths(paths: DataFrame) -> DataFrame:
     return paths.select("company_id").distinct()
 

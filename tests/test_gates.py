@@ -121,3 +121,15 @@ def test_csv_files_and_registry(spark, tmp_path):
     companies = spark.createDataFrame([("Harvey",), ("Anysphere",)], "company string")
     registry = spark.createDataFrame([(i, f"HARVEY {w} PTE LTD") for i, w in enumerate(("NORMAN", "BUILD", "TRADE"))] + [(9, "ANYSPHERE SINGAPORE PTE. LTD.")], "uen long, name string")
     assert {(r.company, r.uen, r.match) for r in scans.registry_lookup(companies, registry).collect()} == {("Anysphere", 9, "confirmed")}
+
+
+def test_person_strengths_are_those_of_the_paths(spark):
+    """Lists of ordinary people, paths of those with many roles, and companies cut into slices: what grouping all paths says; nulls join nothing."""
+    rows = [(p, (p * 7 + k * k) % 23, "r") for p in range(60) for k in range(p % 6)] + [(99, c % 40, "r") for c in range(80)] + [(5, None, "r"), (None, 3, "r"), (7, 400, "r")]
+    roles = spark.createDataFrame(rows, "person_id long, company_id long, role string")
+    links = spark.createDataFrame([("company", c) for c in (1, 2, 3, 3, 39)] + [("person", 4)], "subject_type string, subject_id long")
+    told = lambda df: {r.company_id: (r.n, r.targets, round(r.best, 9), round(r.total, 6)) for r in df.collect()}
+    wanted = told(paths.path_strengths(paths.person_paths(roles, links)))
+    assert len(wanted) > 30
+    for small in ({}, {"most": 10, "each": 1}, {"most": 10, "each": 1, "roles_of_company": 3}, {"most": 0, "lists": 1, "each": 1}):
+        assert told(paths.person_strengths(roles, links, **small)) == wanted
