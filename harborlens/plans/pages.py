@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlens.operators.pages import Part, bundles, investor_rounds, latest_scores, newest_first, queue_sizes, related_items, sibling_context, sliding_rates
-from harborlens.operators.shared import spread, written
+from harborlens.operators.shared import parts_for, shuffled, spread, written
 from harborlens.plans.registry import query, read
 
 _LINES_SQL = """lines as (select *, epoch(l_shipdate)::bigint // 86400 as day from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey),
@@ -33,12 +33,15 @@ def _told(page: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order's customer and their part's brand, joined and written once: a page's parts read them several times."""
+    """Lines with their order's customer and their part's brand, joined and written once: a page's parts read them several times. Both sides of the larger join are
+    dealt by the number of lines, so that what a task sorts doesn't grow with them."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")  # noqa: E741
     l = l.withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("long")).drop("l_shipdate")  # noqa: E741
-    return written(l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).drop("o_orderkey", "p_partkey"), "lines")
+    parts = parts_for(l, 250_000)
+    met = l.repartition(parts, "l_orderkey").join(shuffled(o.repartition(parts, "o_orderkey")), F.col("o_orderkey") == F.col("l_orderkey"))
+    return written(met.join(p, F.col("p_partkey") == F.col("l_partkey")).drop("o_orderkey", "p_partkey"), "lines")
 
 
 def _grouped(lines: DataFrame, keys: list[str]) -> DataFrame:

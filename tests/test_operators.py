@@ -165,3 +165,20 @@ def test_story_pairs_by_signal_and_date(spark):
     assert pairs("signal", "at") == want
     assert {(1, 4), (8, 9), (9, 10)} <= want and not {(1, 5), (8, 10)} & want
     assert (8, 9) not in pairs() and (1, 5) in pairs()
+
+
+def test_lines_of_pages_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """What a task sorts for the join of lines and orders doesn't grow with them, whatever the session's number of partitions."""
+    import re
+
+    from harborlens.plans import pages
+
+    spark.range(9).selectExpr("id as o_orderkey", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(9).selectExpr("id as p_partkey", "'b' as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    line = "id as l_orderkey, id as l_partkey, id as l_suppkey, 1 as l_linenumber, 'A' as l_returnflag, 'F' as l_linestatus, timestamp_ntz'2001-01-01' as l_shipdate"
+    spark.range(9).selectExpr(*line.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(pages, "parts_for", lambda df, most: df.count() if most == 250_000 else 1)
+    monkeypatch.setattr(pages, "written", lambda df, name: df)
+    lines = pages._lines(spark, str(tmp_path))
+    dealt = re.findall(r"Exchange hashpartitioning\(([lo]_orderkey)#\d+L?, (\d+)\)", lines._jdf.queryExecution().executedPlan().toString())
+    assert sorted(dealt) == [("l_orderkey", "9"), ("o_orderkey", "9")] and lines.count() == 9
