@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborlens.functions.text import bound, fold_accents
 
-# Words that don't tell a company by, endings to try, and how many addresses are tried.
+# Words that don't tell a company by, endings to try, and how many addresses are tried where each has to be fetched.
 STOP = ("inc", "corp", "corporation", "llc", "ltd", "limited", "lp", "llp", "co", "company", "holdings", "group", "the", "pbc", "incorporated")
 ENDINGS = ("com", "ai", "io", "co", "tech", "bio")
 TRIED = 14
@@ -22,13 +22,15 @@ def _words(name: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.regexp_replace(fold_accents(F.lower(name)), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) >= least) & ~w.isin(*STOP))
 
 
-def candidate_domains(name: Column) -> Column:
-    """Addresses that a company's name suggests, likeliest first: its words joined, the first two, the first, and all with hyphens, with each ending."""
+def candidate_domains(name: Column, most: int | None = TRIED) -> Column:
+    """Addresses that a company's name suggests, likeliest first: its words joined, the first two, the first, and all with hyphens, with each ending;
+    the first ``most`` of them, or all with None."""
 
     def made(ws: Column) -> Column:
         stems = F.array(F.array_join(ws, ""), F.array_join(F.slice(ws, 1, 2), ""), F.get(ws, F.lit(0)), F.array_join(ws, "-"))
         stems = F.filter(F.array_distinct(stems), lambda s: F.length(s) >= 3)
-        return F.slice(F.flatten(F.transform(stems, lambda s: F.array(*(F.concat(s, F.lit(f".{e}")) for e in ENDINGS)))), 1, TRIED)
+        every = F.flatten(F.transform(stems, lambda s: F.array(*(F.concat(s, F.lit(f".{e}")) for e in ENDINGS))))
+        return every if most is None else F.slice(every, 1, most)
 
     return bound(_words(name), made)
 
@@ -58,8 +60,8 @@ def site_verdict(name: Column, domain: Column, title: Column, description: Colum
 
 
 def resolved_sites(companies: DataFrame, pages: DataFrame) -> DataFrame:
-    """(company, domain, verdict): of each company (company), the first guessed address whose page (domain, title, description, text) is its own; companies without one are left out."""
-    tried = companies.select("company", F.posexplode(candidate_domains(F.col("company"))).alias("place", "domain"))
+    """(company, domain, verdict): of each company (company), the first of all guessed addresses whose page (domain, title, description, text) is its own; companies without one are left out."""
+    tried = companies.select("company", F.posexplode(candidate_domains(F.col("company"), None)).alias("place", "domain"))
     met = tried.join(pages, "domain").withColumn("verdict", site_verdict(F.col("company"), F.col("domain"), F.col("title"), F.col("description"), F.col("text")))
     own = met.where(F.col("verdict").isin("verified", "thin"))
     return own.groupBy("company").agg(F.min_by(F.struct("domain", "verdict"), "place").alias("_s")).select("company", "_s.domain", "_s.verdict")

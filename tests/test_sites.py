@@ -28,3 +28,11 @@ def test_sources(spark):
     df = spark.createDataFrame(rows, "source string, kind string, enabled boolean, sectors array<string>, url string")
     assert [tuple(r) for r in sites.enabled_sources(df, ["feed"], ["ai"]).collect()] == [("a", "feed", "u")]
     assert sites.enabled_sources(df).count() == 3
+
+
+def test_every_guess_is_tried(spark):
+    """The page at the last guess counts too."""
+    names = spark.createDataFrame([("Bright River Labs, Inc.",)], "company string")
+    pages = spark.createDataFrame([("bright-river-labs.bio", "Home", "We build", "Bright River Labs builds plants. " * 12)], "domain string, title string, description string, text string")
+    found = sites.resolved_sites(names, pages)
+    assert [tuple(r) for r in found.collect()] == [("Bright River Labs, Inc.", "bright-river-labs.bio", "verified")]
