@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlens.functions.text import bound, fold_accents
+from harborlens.operators.shared import shuffled
 
 # Words that don't tell a company by, endings to try, and how many addresses are tried where each has to be fetched.
 STOP = ("inc", "corp", "corporation", "llc", "ltd", "limited", "lp", "llp", "co", "company", "holdings", "group", "the", "pbc", "incorporated")
@@ -62,7 +63,7 @@ def site_verdict(name: Column, domain: Column, title: Column, description: Colum
 def resolved_sites(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """(company, domain, verdict): of each company (company), the first of all guessed addresses whose page (domain, title, description, text) is its own; companies without one are left out."""
     tried = companies.select("company", F.posexplode(candidate_domains(F.col("company"), None)).alias("place", "domain"))
-    met = tried.join(pages, "domain").withColumn("verdict", site_verdict(F.col("company"), F.col("domain"), F.col("title"), F.col("description"), F.col("text")))
+    met = tried.join(shuffled(pages), "domain").withColumn("verdict", site_verdict(F.col("company"), F.col("domain"), F.col("title"), F.col("description"), F.col("text")))
     own = met.where(F.col("verdict").isin("verified", "thin"))
     return own.groupBy("company").agg(F.min_by(F.struct("domain", "verdict"), "place").alias("_s")).select("company", "_s.domain", "_s.verdict")
 

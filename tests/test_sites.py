@@ -31,8 +31,9 @@ def test_sources(spark):
 
 
 def test_every_guess_is_tried(spark):
-    """The page at the last guess counts too."""
+    """The page at the last guess counts too, and neither pages nor guesses are sent through the driver."""
     names = spark.createDataFrame([("Bright River Labs, Inc.",)], "company string")
     pages = spark.createDataFrame([("bright-river-labs.bio", "Home", "We build", "Bright River Labs builds plants. " * 12)], "domain string, title string, description string, text string")
     found = sites.resolved_sites(names, pages)
     assert [tuple(r) for r in found.collect()] == [("Bright River Labs, Inc.", "bright-river-labs.bio", "verified")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
